@@ -40,4 +40,22 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op5_warc": OP5, "op10_ngram_join": OP10}
+#: Lengths of the template's control text stand for the text itself; escaping adds one character
+#: for each control string or escape character.
+OP8 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, 'ESC|</?s>|\[/?INST\]|\[/?SYS\]|\[OUT\]|\[/?ROLE\]|\[NAME\]'))
+    + CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 16 WHEN 'assistant' THEN 9 ELSE 19 + length(role) END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user,assistant(,user,assistant)*') AS valid
+FROM s GROUP BY conv_id
+""".replace("ESC", "␛")
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op5_warc": OP5, "op8_chat": OP8, "op10_ngram_join": OP10}
