@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: bounded by bytes, as ten thousand long texts are too many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder: spark.checkpoint.dir of the session, else one of our own (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,15 +59,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let the driver's collector find the
+    finished jobs whose shuffle files the context cleaner can then remove."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch_path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete the scratch tables this process wrote; call it once results are stored."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     while _SCRATCH:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(spark, _SCRATCH[-1])
 
 
 def filter_bits(n: int, per_row: int = 16) -> int:
@@ -88,10 +110,10 @@ def probe(df: DataFrame, words: DataFrame, position: Column, out: str) -> DataFr
     )
 
 
-def bloom_semi(df: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
+def bloom_semi(df: DataFrame, key: str, keys: DataFrame, n_keys: int, per_row: int = 16) -> DataFrame:
     """Rows of ``df`` whose key may be in ``keys`` (single column ``key``, n_keys rows): no
     false negatives. Above the bound the filter fills up and passes more rows, never fewer."""
-    m = filter_bits(n_keys, 16)
+    m = filter_bits(n_keys, per_row)
     position = lambda c: F.xxhash64(c).bitwiseAND(F.lit(m - 1))
     words = materialize(words_of(keys.select(position(F.col(key)).alias("__pos"))), "bloom")
     return probe(df, words, position(F.col(key)), "__maybe").filter("__maybe").drop("__maybe")

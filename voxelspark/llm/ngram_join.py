@@ -11,16 +11,19 @@ transpose, done in blocks (one per n-gram) on as few entries as exactness allows
    class keeps its best hub by accumulated overlap. Links found are contracted to components.
    Then what still lies in different components of one block is compared in full; a block
    inside one component costs nothing, so a group of near copies is never expanded into pairs.
-4. A pair is discarded when its sizes, or the parity sketch of the two sets (a lower bound of
-   their symmetric difference), rule the threshold out. The rest is counted on the whole sets.
+4. A pair is discarded when its sizes, or the parity sketches of the two sets (a lower bound of
+   their symmetric difference), rule the threshold out: a small sketch travels with the entries
+   and acts inside the join, one as large as the set follows. What is left is counted on the
+   whole sets.
 
 Every linked pair ends in one component; the number of partners or candidates has no cap. The
 list of frequent n-grams steers only the order, has at most 2**17 entries, and its size is the
 bound of what is broadcast. Hashes have 64 bits.
 
 Defined results: null or word-less text is an empty set and linked with nothing; a text with
-fewer than k words is one shingle; documents with one doc_id are one node; a null doc_id is its
-own component null; an empty table gives an empty result.
+fewer than k words is one shingle; documents with one doc_id are one node; a row with a null
+doc_id has the component of a row with an equal set, else null, and adds no link; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,17 +33,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_join_few, bloom_semi, join_unique, materialize
+from .common import anti_join_few, bloom_semi, discard, join_unique, materialize, small_batches
 from .components import connected_components
 from .textkit import pieces, shingles_by_text
 
 MAX_FREQUENT = 1 << 17
-FREQUENT_DF = 64
-_BUFFER = 1 << 22
-_SKETCH = 16  # 64-bit words
+FREQUENT_DF = 16
+_BUFFER = 1 << 21
+#: Bits of a sketch: twice the set's size, within these bounds.
+_SKETCH_BITS = 1 << 10, 1 << 18
+#: Words of the small sketch that travels with the entries: eight of 64 bits.
+_SMALL = [f"k{i}" for i in range(8)]
 
 
 def _class_id(shingles: np.ndarray) -> int:
@@ -50,7 +56,7 @@ def _class_id(shingles: np.ndarray) -> int:
 
 def _statistics(k: int):
     """doc rows (doc_id, cid, n) and, with n = -1, n-grams repeated within a buffer of about
-    four million: (count, n-gram, -1)."""
+    two million: (count, n-gram, -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -85,23 +91,55 @@ def _statistics(k: int):
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    bits = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=64 * _SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parities of the set's hashes by their low bits; halves fold onto each other by xor."""
+    bits, most = _SKETCH_BITS
+    while bits < 2 * len(s) and bits < most:
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _small_sketch(s: np.ndarray) -> list[int]:
+    odd = np.bincount((s & np.uint64(64 * len(_SMALL) - 1)).astype(np.int64), minlength=64 * len(_SMALL)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their sketches."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
+def _possible(percent: int):
+    """The pairs whose sketches leave the threshold within reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
+                keep.append(_linked((na + nb - differing(sa, sb)) // 2, na, nb, percent))
+            yield batch.select(["a", "b", "na", "nb", "da", "db"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _prefixes(k: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
-    """(cid, doc_id, n, sketch, prefix) of each class that the task has not met yet."""
+    """(cid, doc_id, n, sketch, k, prefix) of each class that the task has not met yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for piece in pieces(batch, "text"):
-                out: tuple[list, ...] = ([], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [])
                 for doc_id, s in zip(piece.column("doc_id").to_pylist(), shingles_by_text(piece.column("text"), k), strict=True):
                     n = len(s)
                     if not n or (cid := _class_id(s)) in seen:
                         continue
-                    if len(seen) < 1 << 20:
+                    if len(seen) < 1 << 18:
                         seen.add(cid)
                     p = n - (percent * n + 99) // 100 + 1
                     prefix = s[:p]
@@ -114,9 +152,9 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
                             if len(prefix) < p:
                                 last = s[common]
                                 prefix = np.concatenate((prefix, last[np.argsort(rank[at[common]], kind="stable")][: p - len(prefix)]))
-                    for column, value in zip(out, (cid, doc_id, n, _sketch(s), prefix.view(np.int64)), strict=True):
+                    for column, value in zip(out, (cid, doc_id, n, _sketch(s), _small_sketch(s), prefix.view(np.int64)), strict=True):
                         column.append(value)
-                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64()))], names=["cid", "doc_id", "n", "sketch", "prefix"])
+                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.list_(pa.int64()))], names=["cid", "doc_id", "n", "sketch", "k", "prefix"])
 
     return run
 
@@ -138,68 +176,97 @@ def _linked(overlap, na, nb, percent: int):
 class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.k, self.percent = k, percent
+        small_batches(docs.sparkSession)
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         stats = materialize(self.texts.mapInArrow(_statistics(k), "doc_id long, cid long, n int"), "ngram_stats")
         self.nodes = stats.filter("n >= 0")
         top = stats.filter("n < 0").groupBy("cid").agg(F.sum("doc_id").alias("df")).filter(F.col("df") >= FREQUENT_DF).orderBy(F.desc("df"), "cid").limit(MAX_FREQUENT).collect()
         values, counts = np.array([r["cid"] for r in top], np.int64).view(np.uint64), np.array([r["df"] for r in top], np.int64)
         order = np.argsort(values)
-        rows = materialize(self.texts.mapInArrow(_prefixes(k, percent, values[order], counts[order]), "cid long, doc_id long, n int, sketch binary, prefix array<long>"), "ngram_prefix")
+        rows = materialize(self.texts.filter("doc_id is not null").mapInArrow(_prefixes(k, percent, values[order], counts[order]), "cid long, doc_id long, n int, sketch binary, k array<long>, prefix array<long>"), "ngram_prefix")
         self.rows = rows
-        self.meta = materialize(rows.groupBy("cid").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m")).select("cid", "m.*"), "ngram_meta")
+        self.meta = materialize(rows.groupBy("cid").agg(F.min(F.struct("doc_id", "n", "sketch", "k")).alias("m")).select("cid", "m.*"), "ngram_meta")
 
-    def blocks(self) -> DataFrame:
+    def blocks(self) -> DataFrame | None:
         """(tok, cid, c): the entries of n-grams that two classes or more share; c: the block's size."""
         entries = self.rows.select("cid", F.explode("prefix").alias("tok"))
         shared = entries.groupBy("tok").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("tok", "c")
         shared = materialize(shared, "ngram_shared")
-        entries = bloom_semi(entries, "tok", shared.select("tok"), shared.count())
+        n_shared = shared.count()
+        if not n_shared:
+            return None
+        entries = bloom_semi(entries, "tok", shared.select("tok"), n_shared)
         total = max(1, shared.agg(F.sum("c")).first()[0] or 0)
-        return materialize(join_unique(entries, shared, "tok", "c", total).distinct(), "ngram_blocks")
+        blocks = materialize(join_unique(entries, shared, "tok", "c", total).distinct(), "ngram_blocks")
+        discard(shared)
+        return blocks
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links among the distinct pairs (a, b)."""
+    def verified(self, pairs: DataFrame) -> DataFrame | None:
+        """Links among the distinct pairs (a, b), None if there are none."""
         meta = lambda s: self.meta.select(F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("doc_id").alias(f"d{s}"))
         kept = pairs.join(meta("a"), "a").filter("na > 0").join(meta("b"), "b").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        word = lambda s, i: F.conv(F.hex(F.substring(s, 8 * i + 1, 8)), 16, -10).cast("long")
-        differ = sum((F.bit_count(word("sa", i).bitwiseXOR(word("sb", i))) for i in range(_SKETCH)), F.lit(0))
-        kept = kept.withColumn("most", F.floor((F.col("na") + F.col("nb") - differ) / 2)).filter(_linked(F.col("most"), F.col("na"), F.col("nb"), self.percent))
-        kept = materialize(kept.select("a", "b", "na", "nb", "da", "db"), "ngram_pairs")
+        kept = kept.select("a", "b", "na", "nb", "da", "db", "sa", "sb").mapInArrow(_possible(self.percent), "a long, b long, na int, nb int, da long, db long")
+        kept = materialize(kept, "ngram_pairs")
+        if not kept.count():
+            return None
         ids = materialize(kept.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct(), "ngram_ids")
-        some = bloom_semi(self.texts, "doc_id", ids, ids.count())
-        wanted = kept.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        sets = some.mapInArrow(_whole_sets(self.k), "cid long, shingles array<long>").join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("shingles").alias("shingles"))
-        sets = materialize(sets, "ngram_sets")
+        # a document that the Bloom filter passes by mistake only adds a set that no pair asks for
+        some = bloom_semi(self.texts, "doc_id", ids, ids.count(), per_row=64)
+        sets = materialize(some.mapInArrow(_whole_sets(self.k), "cid long, shingles array<long>"), "ngram_sets")
+        # of each pair the class with fewer pairs moves its set; the other's, a hub, stays in place
+        degree = kept.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").count()
+        of = lambda s: degree.select(F.col("cid").alias(s), F.col("count").alias(f"c{s}"))
+        hub, member = F.when(F.col("ca") >= F.col("cb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("ca") >= F.col("cb"), F.col("b")).otherwise(F.col("a"))
+        turned = kept.join(of("a"), "a").join(of("b"), "b").select(hub.alias("h"), member.alias("m"), "na", "nb")
         side = lambda s: sets.select(F.col("cid").alias(s), F.col("shingles").alias(f"t{s}"))
-        overlap = F.size(F.array_intersect("ta", "tb"))
-        both = kept.join(side("b"), "b").join(side("a"), "a").withColumn("overlap", overlap)
-        return materialize(both.filter(_linked(F.col("overlap"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"), "ngram_links")
+        both = turned.join(side("m"), "m").join(side("h"), "h").withColumn("overlap", F.size(F.array_intersect("tm", "th")))
+        links = materialize(both.filter(_linked(F.col("overlap"), F.col("na"), F.col("nb"), self.percent)).select(F.col("h").alias("a"), F.col("m").alias("b")), "ngram_links")
+        discard(kept, ids, sets)
+        return links
+
+    def _possible_pair(self, x: str, y: str) -> Column:
+        """Do the sizes and the small sketches of two entries leave the threshold within reach?"""
+        nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+        differ = sum((F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in _SMALL), F.lit(0))
+        return (100 * F.least(nx, ny) >= self.percent * F.greatest(nx, ny)) & _linked(F.floor((nx + ny - differ) / 2), nx, ny, self.percent)
 
     def labels(self) -> DataFrame:
         """(cid, label) of the classes that have a link."""
         blocks = self.blocks()
+        empty = self.nodes.sparkSession.createDataFrame([], "cid long, label long")
+        if blocks is None:
+            return empty
         weight = blocks.groupBy("cid").agg(F.sum("c").alias("w"))
         entries = materialize(blocks.join(weight, "cid"), "ngram_entries")
+        discard(blocks)
         links, labels = None, None
         for turn in range(2):
             at = entries.withColumn("label", F.col("cid")) if labels is None else entries.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
             size = at.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("here"), F.max(F.struct("w", "cid")).alias("best"))
-            # of a mixed block: its hub, outside the largest component from the second turn on
-            block = size.groupBy("tok").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("here", "label")).alias("main"), F.max("best").alias("hub"), F.sum("here").alias("c"), F.collect_set(F.lit(0)).alias("_")).filter("labels > 1")
+            # of a mixed block: its largest component, its hub and its size
+            block = size.groupBy("tok").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("here", "label")).alias("main"), F.max("best").alias("hub"), F.sum("here").alias("c")).filter("labels > 1")
             block = materialize(block.select("tok", F.col("main.label").alias("main"), F.col("hub.cid").alias("hub"), "c"), "ngram_mixed")
-            total = max(1, block.agg(F.sum("c")).first()[0] or 0)
+            total = block.agg(F.sum("c")).first()[0]
+            if not total:
+                break
             mixed = materialize(join_unique(at.select("tok", "cid", "label"), block, "tok", "c", total), "ngram_left")
             if turn == 0:
                 votes = mixed.filter("cid <> hub").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("votes"))
                 pairs = votes.groupBy("cid").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub")).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
             else:
-                few = mixed.filter("label <> main").select("tok", F.col("cid").alias("x"), F.col("label").alias("lx"))
-                full = mixed.select("tok", F.col("cid").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("m"))
-                pairs = few.join(full, "tok").filter("lx <> ly and (m or x < y)").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("shared")).select("a", "b")
+                # sizes and small sketches settle most pairs inside the join itself
+                wide = mixed.join(self.meta.select("cid", "n", *(F.col("k")[i].alias(k) for i, k in enumerate(_SMALL))), "cid")
+                few = wide.filter("label <> main").select("tok", F.col("cid").alias("x"), F.col("label").alias("lx"), *(F.col(c).alias(f"x{c}") for c in ("n", *_SMALL)))
+                full = wide.select("tok", F.col("cid").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("m"), *(F.col(c).alias(f"y{c}") for c in ("n", *_SMALL)))
+                full = full.withColumnRenamed("tok", "tok_y")
+                met = few.join(full, (F.col("tok") == F.col("tok_y")) & (F.col("lx") != F.col("ly")) & (F.col("m") | (F.col("x") < F.col("y"))) & self._possible_pair("x", "y"))
+                pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             found = self.verified(pairs)
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links)
-        return labels
+            discard(block, mixed)
+            if found is not None:
+                links = found if links is None else links.unionByName(found)
+                labels = connected_components(links)
+        return empty if labels is None else labels
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
