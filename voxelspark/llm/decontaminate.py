@@ -7,8 +7,8 @@ has at most two differing bits when two fingerprints are within radius 23, so pr
 within two bits of each block misses none. Candidates are verified by exact weighted Jaccard
 similarity of the two shingle bags.
 
-A window that shares no shingle with any item has similarity 0, so only windows over at least
-one such shingle are fingerprinted; the gate is exact. Of two items with similarity 0.8 the
+Similarity 0.8 needs eight ninths of a window's shingles to be an item's, so only windows with that
+many shingles of any item are fingerprinted; the bound is exact. Of two items with similarity 0.8 the
 fingerprints differ in about 10 of 64 bits (three standard deviations: 18), so radius 23 is wide.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased.
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textkit import ALNUM, Words, buffers, mix, pieces, sequence_hash, shingle_hashes
 
 RADIUS, BLOCKS = 23, 8
@@ -96,6 +97,9 @@ class Items:
         """(item, similarity, first word, words) of each item's best window of one text; ``runs``
         are the k-word shingles of the text's own words."""
         n, best = len(words), {}
+        known = np.zeros(len(runs) + 1, np.int64)
+        known[self.hits(runs) + 1] = 1
+        known = np.cumsum(known)
         for length in np.unique(self.lengths).tolist():
             size = min(length, n)
             of = np.flatnonzero(self.lengths == length)
@@ -109,26 +113,21 @@ class Items:
                     continue
             else:
                 count, source = size - self.k + 1, runs
-                hit = self.hits(runs)
-                if not len(hit):
-                    continue
-                cover = np.zeros(len(runs) + 1, np.int64)
-                np.add.at(cover, np.maximum(hit - count + 1, 0), 1)
-                np.add.at(cover, hit + 1, -1)
-                at = np.flatnonzero(np.cumsum(cover)[: len(runs) - count + 1] > 0)
+                # similarity p needs an overlap of p / (1 + p) of both sizes together
+                least = self.percent * (count + length - self.k + 1) / (100 + self.percent) - 1e-9
+                at = np.flatnonzero(known[count:] - known[: len(runs) - count + 1] >= least)
                 if not len(at):
                     continue
                 low, high = int(at[0]), int(at[-1]) + count
                 prints = fingerprints(source[low:high], at - low, count)
             blocks = prints[:, None].view(np.uint8)
             near = reduce(np.logical_or, (self.index[b][blocks[:, b]][:, of] for b in range(BLOCKS)))
-            for w, j in zip(*np.nonzero(near), strict=True):
-                item = int(of[j])
-                if int(prints[w] ^ self.prints[item]).bit_count() <= RADIUS:
-                    start = int(at[w])
-                    sim = self.similarity(item, source[start : start + count])
-                    if sim * 100 >= self.percent - 1e-9 and sim > best.get(item, (0.0,))[0]:
-                        best[item] = (sim, start, size)
+            w, j = np.nonzero(near)
+            close = np.bitwise_count(prints[w] ^ self.prints[of[j]]) <= RADIUS
+            for at_w, item in zip(at[w[close]].tolist(), of[j[close]].tolist(), strict=True):
+                sim = self.similarity(item, source[at_w : at_w + count])
+                if sim * 100 >= self.percent - 1e-9 and sim > best.get(item, (0.0,))[0]:
+                    best[item] = (sim, at_w, size)
         return [(i, *b) for i, b in sorted(best.items())]
 
 
@@ -161,6 +160,7 @@ def _blocks(benchmark: DataFrame, k: int, percent: int) -> Iterator[Items]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per (document, item) found: doc_id, item_id, similarity, first_word, n_words of
     the best window."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -183,6 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents in which no item is found, all columns kept; no shuffle."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     for items in _blocks(benchmark, k, percent):
         shared = spark.sparkContext.broadcast(items)
