@@ -29,11 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .quality import fold
 from .textkit import pieces
 
 MAX_DOCS, DICTIONARY, BLOCK, LEVEL, SHARPNESS, MARGIN = 256, 32 << 10, 2048, 5, 60.0, 0.01
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 200
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -84,6 +85,7 @@ class Classifier:
 
 def identify_language(docs: DataFrame, max_docs: int = MAX_DOCS, margin: float = MARGIN) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, confident."""
+    small_batches(docs.sparkSession)
     content = docs.sparkSession.sparkContext.broadcast(dictionaries(docs, max_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

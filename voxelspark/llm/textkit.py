@@ -130,7 +130,7 @@ def shingles_by_text(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each (one text at least)."""
     sizes = np.diff(buffers(batch.column(batch.schema.get_field_index(column)))[1])
     at, total = 0, 0

@@ -33,7 +33,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_unique, materialize, scratch_path
+from .common import join_unique, materialize, scratch_path, small_batches
 
 LEAST = 1000
 BLOCKS = 4096
@@ -104,6 +104,7 @@ MANIFEST = "file string, shard long, seq long, records long, bytes long, sha256
 
 def write_warc(pages: DataFrame, root: str, least: int = LEAST, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write the archives below ``root``, a URI that every executor can write to; the manifest."""
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("sha"))
     narrow = materialize(rows.select("page_id", "sha", F.octet_length("html").cast("long").alias("bytes")), "warc_narrow")
