@@ -37,8 +37,8 @@ from .common import join_unique, materialize, scratch_path, small_batches
 
 LEAST = 1000
 BLOCKS = 4096
-SHARD_BYTES = 1 << 30
-ROLL_BYTES = 256 << 20
+SHARD_BYTES = 256 << 20
+ROLL_BYTES = 128 << 20
 DATE = "2000-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
