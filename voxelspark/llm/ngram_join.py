@@ -45,8 +45,8 @@ FREQUENT_DF = 16
 _BUFFER = 1 << 21
 #: Bits of a sketch: twice the set's size, within these bounds.
 _SKETCH_BITS = 1 << 10, 1 << 18
-#: Words of the small sketch that travels with the entries: eight of 64 bits.
-_SMALL = [f"k{i}" for i in range(8)]
+#: Words of the small sketch that travels with the entries: sixteen of 64 bits.
+_SMALL = [f"k{i}" for i in range(16)]
 
 
 def _class_id(shingles: np.ndarray) -> int:
