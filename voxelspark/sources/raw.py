@@ -35,7 +35,7 @@ class RawVolumeReader(DataSourceReader):
     def pushFilters(self, filters):
         """Comparisons of z bound the slabs; all filters are applied again by Spark."""
         for f in filters:
-            if getattr(f, "attribute", None) == ("z",) and isinstance(f.value, int):
+            if getattr(f, "attribute", None) == ("z",) and isinstance(getattr(f, "value", None), int):
                 if isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan)):
                     self.low = max(self.low, f.value + isinstance(f, GreaterThan))
                 if isinstance(f, (EqualTo, LessThanOrEqual, LessThan)):
@@ -74,6 +74,7 @@ class RawVolume(DataSource):
 def read_raw(spark: SparkSession, path: str, shape: tuple[int, int, int], dtype: str = "float32", slab: int = 16) -> Volume:
     """A volume of a raw file, of the file's element type."""
     spark.dataSource.register(RawVolume)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     nz, ny, nx = shape
     df = spark.read.format("rawvolume").options(path=path, nz=nz, ny=ny, nx=nx, dtype=dtype, slab=slab).load()
     return Volume(df, tuple(shape), dtype)

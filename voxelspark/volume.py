@@ -39,7 +39,7 @@ class Volume:
         dtype = dtype or str(array.dtype)
         z, y, x = (i.ravel().astype(np.int32) for i in np.indices(array.shape))
         frame = pd.DataFrame({"z": z, "y": y, "x": x, "v": array.ravel()})
-        df = spark.createDataFrame(frame).select("z", "y", "x", F.col("v").cast(SPARK_TYPES[dtype]).alias("v"))
+        df = spark.createDataFrame(frame).select(*(F.col(a).cast("int").alias(a) for a in "zyx"), F.col("v").cast(SPARK_TYPES[dtype]).alias("v"))
         return cls(df, array.shape, dtype)
 
     @classmethod
