@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from voxelspark import Volume
 from voxelspark.functions import kernels
 from voxelspark.operators import segmentation as s
-from voxelspark.sources import raw, store, synthetic
+from voxelspark.sources import raw, store, synthetic, tables
 from voxelspark.streaming.slices import SCHEMA, map_stream, pack_slices, unpack_slices
 
 
@@ -114,3 +114,17 @@ def test_stream_of_slices(spark, tmp_path):
     query.stop()
     got = Volume(unpack_slices(spark.table("lbp_slices")), a.shape).to_numpy()
     np.testing.assert_array_equal(got, np.stack([kernels.lbp(s) for s in a]))
+
+
+@pytest.mark.parametrize("ids", [range(700), [*range(30), *range(60, 520)]])
+def test_all_vectors_are_in_the_volume(spark, tmp_path, ids):
+    """More than 500 vectors, and slices that lack some."""
+    rows = [(i, [float(i + x) / 1000 + 0.0001 for x in range(64)], i % 3) for i in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    nz = max(ids) // 50 + 1
+    image, label = np.zeros((nz * 50, 64), np.int32), np.zeros((nz * 50, 64), np.int32)
+    for i in ids:
+        image[i], label[i] = i + np.arange(64), i % 3 + 1
+    for volume, want in ((tables.embeddings_volume(spark, str(tmp_path)), image), (tables.embeddings_labels(spark, str(tmp_path)), label)):
+        assert volume.shape == (nz, 50, 64) and volume.df.count() == want.size
+        np.testing.assert_array_equal(volume.to_numpy(), want.reshape(volume.shape))
