@@ -55,6 +55,23 @@ def test_language_on_held_out_texts(spark):
     assert identify_language(frame(spark, [])).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """260 languages, more than one block of encoders; the last sixty are rarer."""
+    rng = random.Random(8)
+    learn = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5]
+    held = (i for i in range(3000, 9000) if zlib.crc32(str(i).encode()) % 5 == 0)
+    data, ask = [], {}
+    for n in range(260):
+        stems = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        text = lambda: " ".join(rng.choice(stems) for _ in range(60))  # noqa: B023, E731
+        data += [(learn.pop(), text(), f"l{n:03d}", "s", 0, "", 0, 0) for _ in range(2 if n < 200 else 1)]
+        if n % 20 == 0 or n >= 250:
+            ask[i := next(held)] = f"l{n:03d}"
+            data.append((i, text(), None, "s", 0, "", 0, 0))
+    got = {r.doc_id: r.lang_pred for r in identify_language(frame(spark, data)).collect()}
+    assert {i: got[i] for i in ask} == ask
+
+
 def corpus(n=900):
     rng = random.Random(2)
     data, labels = [], []

@@ -9,7 +9,7 @@ Texts are lower-cased, everything ASCII that is no letter becomes a space, and w
 encoded, in blocks of ``BLOCK`` bytes so that a long text does not drown the dictionary in its
 own repetitions.
 
-Fitting reads at most ``max_docs`` documents a language (smallest id hashes) and keeps at most
+Every non-null lang of the learning fold is learned, however rare. Fitting reads at most ``max_docs`` documents a language (smallest id hashes) and keeps at most
 ``DICTIONARY`` bytes of them; texts of the fold crc32(doc_id) mod 5 = 0 and null lang are left out.
 
 Defined results: null text or one without a letter is ``und`` with score 0; equal sizes go to the
@@ -34,7 +34,7 @@ from .quality import fold
 from .textkit import pieces
 
 MAX_DOCS, DICTIONARY, BLOCK, LEVEL, SHARPNESS, MARGIN = 256, 32 << 10, 2048, 5, 60.0, 0.01
-MAX_LANGUAGES = 200
+ENCODERS = 256
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -46,10 +46,9 @@ def normalise(text: str) -> bytes:
 def dictionaries(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, bytes]:
     """Raw dictionary content for each language, from the learning fold."""
     learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)  # a bound on the broadcast
-    rate = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * max_docs) / F.col("count")).alias("rate"))
+    rate = learn.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(2.0 * max_docs) / F.col("count")).alias("rate"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = learn.join(F.broadcast(rate), "lang").filter(chance < F.col("rate")).select("lang", "doc_id", "text")
+    picked = learn.join(rate, "lang").filter(chance < F.col("rate")).select("lang", "doc_id", "text")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     rows = picked.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max_docs).select("lang", "r", F.substring("text", 1, 4 * DICTIONARY // max_docs + 1024).alias("text")).collect()
     texts: dict[str, list[bytes]] = {}
@@ -65,22 +64,37 @@ def dictionaries(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, bytes]:
 
 
 class Classifier:
+    """Encoders are made for ``ENCODERS`` languages at a time, and kept if that is all of them."""
+
     def __init__(self, content: dict[str, bytes], margin: float = MARGIN):
-        self.margin, self.encoders = margin, []
-        for lang in sorted(content):
-            d = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        langs = sorted(content)
+        self.margin, self.content = margin, content
+        self.blocks = [langs[i : i + ENCODERS] for i in range(0, len(langs), ENCODERS)]
+        self.kept = self._encoders(self.blocks[0]) if len(self.blocks) == 1 else None
+
+    def _encoders(self, langs: list[str]) -> list[tuple[str, zstandard.ZstdCompressor]]:
+        out = []
+        for lang in langs:
+            d = zstandard.ZstdCompressionDict(self.content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            self.encoders.append((lang, zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False)))
-
-    def classify(self, text: str | None) -> tuple[str, float, bool]:
-        if text is None or not self.encoders or not _LETTER.search(text):
-            return "und", 0.0, False
-        data = normalise(text)
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in self.encoders)
-        best = max(sizes[0][0], 1)
-        score = 1 / sum(math.exp(-SHARPNESS * (s / best - 1)) for s, _ in sizes)
-        return sizes[0][1], score, len(sizes) == 1 or sizes[1][0] >= best * (1 + self.margin)
+            out.append((lang, zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False)))
+        return out
+
+    def classify(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        out: list[tuple[str, float, bool]] = [("und", 0.0, False)] * len(texts)
+        known = {i: normalise(t) for i, t in enumerate(texts) if t is not None and self.blocks and _LETTER.search(t)}
+        sizes: dict[int, list[tuple[int, str]]] = {i: [] for i in known}
+        for langs in self.blocks:
+            encoders = self.kept or self._encoders(langs)
+            for i, data in known.items():
+                blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+                sizes[i] += [(sum(len(c.compress(b)) for b in blocks), lang) for lang, c in encoders]
+        for i, found in sizes.items():
+            found.sort()
+            best = max(found[0][0], 1)
+            score = 1 / sum(math.exp(-SHARPNESS * (s / best - 1)) for s, _ in found)
+            out[i] = found[0][1], score, len(found) == 1 or found[1][0] >= best * (1 + self.margin)
+        return out
 
 
 def identify_language(docs: DataFrame, max_docs: int = MAX_DOCS, margin: float = MARGIN) -> DataFrame:
@@ -92,7 +106,7 @@ def identify_language(docs: DataFrame, max_docs: int = MAX_DOCS, margin: float =
         classifier = Classifier(content.value, margin)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                lang, score, sure = zip(*map(classifier.classify, piece.column("text").to_pylist()), strict=True)
+                lang, score, sure = zip(*classifier.classify(piece.column("text").to_pylist()), strict=True)
                 yield pa.record_batch([piece.column("doc_id"), piece.column("held_out"), pa.array(lang), pa.array(score), pa.array(sure)], names=["doc_id", "held_out", "lang_pred", "score", "confident"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
