@@ -8,7 +8,7 @@ import pytest
 
 from voxelspark.llm import textkit
 from voxelspark.llm.decontaminate import RADIUS, Items, contaminated, drop_contaminated, fingerprints
-from voxelspark.llm.language import identify_language
+from voxelspark.llm.language import DICTIONARY, dictionaries, identify_language
 from voxelspark.llm.ngram_join import _sketch, differing
 from voxelspark.llm.quality import HELD_OUT, features, keep_good, quality_scores
 
@@ -72,6 +72,16 @@ def test_every_language_is_learned(spark):
     assert {i: got[i] for i in ask} == ask
 
 
+def test_dictionaries_hold_bodies_of_all_sampled_documents(spark):
+    """Texts open with the same 1600 characters; each body has a word of its own."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4)) + "q"
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:256]
+    content = dictionaries(frame(spark, [(i, "licence " * 200 + (name(i) + " ") * 2000, "en", "s", 0, "", 0, 0) for i in ids]))["en"]
+    words = set(content.decode().split())
+    assert DICTIONARY * 0.98 <= len(content) <= DICTIONARY
+    assert sum(name(i) in words for i in ids) > 200
+
+
 def corpus(n=900):
     rng = random.Random(2)
     data, labels = [], []

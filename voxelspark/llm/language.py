@@ -10,7 +10,7 @@ encoded, in blocks of ``BLOCK`` bytes so that a long text does not drown the dic
 own repetitions.
 
 Every non-null lang of the learning fold is learned, however rare. Fitting reads at most ``max_docs`` documents a language (smallest id hashes) and keeps at most
-``DICTIONARY`` bytes of them; texts of the fold crc32(doc_id) mod 5 = 0 and null lang are left out.
+``DICTIONARY`` bytes of them, an even share of each from a hash-chosen place of its text; texts of the fold crc32(doc_id) mod 5 = 0 and null lang are left out.
 
 Defined results: null text or one without a letter is ``und`` with score 0; equal sizes go to the
 smaller language name; without any learned language everything is ``und``; repeated rows get
@@ -48,19 +48,37 @@ def dictionaries(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, bytes]:
     learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
     rate = learn.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(2.0 * max_docs) / F.col("count")).alias("rate"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = learn.join(rate, "lang").filter(chance < F.col("rate")).select("lang", "doc_id", "text")
+    picked = learn.join(F.broadcast(rate), "lang").filter(chance < F.col("rate")).select("lang", "doc_id", "text")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = picked.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max_docs).select("lang", "r", F.substring("text", 1, 4 * DICTIONARY // max_docs + 1024).alias("text")).collect()
-    texts: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["r"])):
-        texts.setdefault(r["lang"], []).append(normalise(r["text"]))
-    out = {}
-    for lang, parts in texts.items():
-        each = max(256, DICTIONARY // len(parts))
-        content = b" ".join(p[:each] for p in parts)[:DICTIONARY]
-        if len(content) >= 8:
-            out[lang] = content
-    return out
+    rows = picked.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max_docs)
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lang")))
+    # a hash-chosen stretch of the text, long enough for the share after normalising; the hash also places the share in it
+    long = F.floor(4 * DICTIONARY / F.col("n")).cast("int") + 1024
+    places = F.greatest(F.lit(1), F.char_length("text") - long + 1)
+    at = F.pmod(F.xxhash64(F.lit("stretch"), "doc_id"), places).cast("int") + 1
+    place = F.pmod(F.xxhash64(F.lit("share"), "doc_id"), F.lit(1 << 30)).alias("place")
+    chunks = rows.select("lang", F.struct("r", place, F.substring("text", at, long).alias("text")).alias("chunk")).groupBy("lang").agg(F.sort_array(F.collect_list("chunk")).alias("chunks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [(lang.as_py(), content([(c["place"], c["text"]) for c in chunks.as_py()])) for lang, chunks in zip(batch.column("lang"), batch.column("chunks"), strict=True)]
+            yield pa.record_batch([pa.array([x[i] for x in of], t) for i, t in enumerate((pa.string(), pa.binary()))], names=["lang", "content"])
+
+    return {r["lang"]: bytes(r["content"]) for r in chunks.mapInArrow(run, "lang string, content binary").collect() if len(r["content"]) >= 8}
+
+
+def content(chunks: list[tuple[int, str]]) -> bytes:
+    """``DICTIONARY`` bytes at most, dealt evenly: what short chunks leave goes to longer ones."""
+    parts = [(place, p) for place, text in chunks if (p := normalise(text))]
+    left, share = DICTIONARY - len(parts), {}
+    for k, i in enumerate(sorted(range(len(parts)), key=lambda i: len(parts[i][1]))):
+        share[i] = min(len(parts[i][1]), max(0, left) // (len(parts) - k))
+        left -= share[i]
+    out = []
+    for i, (place, p) in enumerate(parts):
+        start = place % (len(p) - share[i] + 1)
+        out.append(p[start : start + share[i]])
+    return b" ".join(out)
 
 
 class Classifier:
