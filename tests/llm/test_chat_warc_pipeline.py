@@ -73,6 +73,16 @@ def test_warc_round_trip(spark):
     assert round_trip(df.limit(0)).count() == 0
 
 
+def test_payloads_without_any_id_are_kept(spark):
+    alone, shared, single = "a" * 2000, "b" * 2000, "c" * 2000
+    rows = [(None, f"u{i}", alone, 0, "") for i in range(3)] + [(None, "u", shared, 0, ""), (5, "u", shared, 0, ""), (None, "u", single, 0, "")]
+    got = round_trip(spark.createDataFrame(rows, PAGES)).collect()
+    of = lambda html: sorted((r.record_type, r.page_id, r.refers_to) for r in got if r.payload_digest == hashlib.sha1(html.encode()).hexdigest())
+    assert of(alone) == [("response", None, None), ("revisit", None, None), ("revisit", None, None)]
+    assert of(shared) == [("response", 5, None), ("revisit", None, 5)]
+    assert of(single) == [("response", None, None)]
+
+
 def test_writing_is_deterministic_rolls_and_leaves_no_temporary_files(spark, tmp_path):
     df, _ = pages(spark)
     names = []

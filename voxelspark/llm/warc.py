@@ -16,7 +16,8 @@ shard as small rows sorted before their page: the pages themselves are shuffled
 shard, and no join moves them.
 
 Defined results: null html is an empty payload, a null url becomes urn:page:<id>; a null page_id
-is written without an id and read back as null; of rows with equal page_id and payload the first
+is written without an id and read back as null, and the first of equal payloads without any id is
+the response; of rows with equal page_id and payload the first
 is the response; empty tables give no file; extra columns are ignored.
 """
 
@@ -116,7 +117,7 @@ def write_warc(pages: DataFrame, root: str, least: int = LEAST, shard_bytes: int
     stats = narrow.groupBy(block.alias("block")).agg(F.sum(F.col("bytes") + 512).alias("size"))  # at most BLOCKS + 1 rows
     shards = materialize(stats.select("block", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / size).cast("long").alias("shard")), "warc_shards")
     groups = narrow.filter(F.col("bytes") >= least).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = join_unique(narrow, materialize(groups, "warc_groups"), "sha", "n", count).filter("page_id is null or page_id <> refers_to")
+    again = join_unique(narrow, materialize(groups, "warc_groups"), "sha", "n", count).filter("refers_to is not null and (page_id is null or page_id <> refers_to)")
     marks = again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", "refers_to", F.lit(0).alias("kind")).distinct()
     every = marks.unionByName(rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("kind", F.lit(1)))
     dealt = every.withColumn("block", block).join(F.broadcast(shards), "block").drop("block")
