@@ -71,6 +71,12 @@ def test_the_field_adds_spans_and_leaves_clean_text_alone():
         assert found(clean) == []
 
 
+def test_short_addresses_are_decoded_whatever_stands_beside_them():
+    field = pii.trained()
+    for text, want in (("host 10-0-0-1 is down", "10-0-0-1"), ("ip 8-8-8-8 and more", "8-8-8-8"), ("ip 8-8-8-8 and more, page 123", "8-8-8-8")):
+        assert [(pii.KINDS[k], text[s:e]) for s, k, e in pii.added_spans(text, pii.base_spans(text), field)] == [("ip", want)]
+
+
 def test_segment_model_agrees_with_enumeration():
     field = pii.SemiMarkov(sentences=6, epochs=1)
     text = "a 12 b"

@@ -8,7 +8,8 @@ other separators or a spelled-out e-mail address is found, and a date or version
 
 The field is trained when an operator is built: conditional log-likelihood by forward-backward
 over sentences generated from templates with a fixed seed. It runs on the neighbourhoods of
-digits, at signs and spelled-out ones only; elsewhere no segment has a feature.
+digits (four at least, as no kind has fewer), at signs and spelled-out ones only; elsewhere no
+segment has a feature.
 
 Defined results: null counts as empty; base spans stay as they are and added ones never overlap
 them; repeated rows give equal rows; an empty table gives an empty result. Texts are scanned
@@ -35,6 +36,8 @@ from .textkit import pieces
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
+#: The shortest kind without an at sign is an address of four numbers.
+LEAST_DIGITS = 4
 _EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -42,6 +45,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _TRIGGER = re.compile(r"[0-9]+|@|[\[({<](?:at|AT)[\])}>]")
+_AT = re.compile(r"@|[\[({<](?:at|AT)[\])}>]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]", re.U)
 
 
@@ -306,7 +310,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov,
             regions.append([low, high])
     out = []
     for low, high in regions:
-        if sum(x.isdigit() for x in text[low:high]) >= 7 or re.search(r"[\[({<](at|AT)[\])}>]", text[low:high]):
+        if sum(x.isdigit() for x in text[low:high]) >= LEAST_DIGITS or _AT.search(text, low, high):
             while low > 0 and high - low < 4096 and text[low - 1].isalnum() and text[low].isalnum():
                 low -= 1
             while high < len(text) and high - low < 4096 and text[high].isalnum() and text[high - 1].isalnum():
