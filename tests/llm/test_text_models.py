@@ -5,12 +5,13 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from voxelspark.llm import textkit
 from voxelspark.llm.decontaminate import RADIUS, Items, contaminated, drop_contaminated, fingerprints
 from voxelspark.llm.language import DICTIONARY, dictionaries, identify_language
 from voxelspark.llm.ngram_join import _sketch, differing
-from voxelspark.llm.quality import HELD_OUT, features, keep_good, quality_scores
+from voxelspark.llm.quality import HELD_OUT, estimated_prior, features, keep_good, quality_scores
 
 from .helpers import SCHEMA, frame, prose, rows
 
@@ -124,6 +125,61 @@ def test_features_are_the_texts_own():
         np.testing.assert_allclose(features(pa.array([t]))[0], together[i])
 
 
+def brute_features(text):
+    """The statistics of one text, counted plainly."""
+    data, words = (text or "").encode(), [w.lower() for w in (text or "").encode().split()]
+    raw = (text or "").encode().split()
+    size, many = max(len(data), 1), max(len(words), 1)
+    inner = b".,;:'\"()-"
+    kinds = [bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b"!?", inner, bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in b"!?" + inner), b"\n\r"]
+    ends = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in inner + b"?")
+    grams = {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+    return [
+        *(sum(c in k for c in data) / size for k in kinds), np.log1p(len(words)), sum(map(len, raw)) / many / 10, sum(w[-1] in ends for w in raw) / many, sum(len(w) == 1 for w in raw) / many,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / many, len(set(words)) / many * np.log1p(many) / 6, len(grams) / many, float(not words),
+    ]
+
+
+def test_features_match_plain_counts():
+    texts = ["One two, three! (four) five? six", "", None, "a A a a b b", "\n\n x\ty\r\n", "ÀÉ 12,5 $$ straße", "w " * 300000, *(r[1] for r in rows())]
+    np.testing.assert_allclose(features(pa.array(texts)), [brute_features(t) for t in texts], rtol=1e-9)
+
+
+def test_scores_do_not_depend_on_partitions_or_neighbours(spark):
+    data, labels = corpus(300)
+    data += [(1000 + i, t, "en", "s", 0, "", 0, 0) for i, t in enumerate(["one", "two words", "three little words", "one"])]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = frame(spark, data)
+    one, many = ({r.doc_id: r.score for r in quality_scores(docs.repartition(n), table).collect()} for n in (1, 13))
+    assert one == many
+    assert one[1000] == one[1003]
+
+
+@pytest.mark.parametrize(("share", "with_negatives"), [(0.3, True), (0.83, True), (0.83, False)])
+def test_prior_is_that_of_the_unlabelled_rows(share, with_negatives):
+    """Half of the labels are positive, whatever the share of positives among all rows."""
+    rng = np.random.default_rng(5)
+    u = rng.random(3000) < share
+    y = np.concatenate((u, np.ones(400, bool), np.zeros(400, bool)))
+    x = rng.normal(0, 1, (len(y), 4)) + 3 * y[:, None]
+    at = np.arange(len(y))
+    order = rng.permutation(len(y))
+    flags = [f[order] for f in ((at >= 3000) & y, (at >= 3000) & ~y & with_negatives, at < 3000)]
+    assert abs(estimated_prior(x[order], *flags) - u.mean()) < 0.04
+
+
+def test_repeated_ids_and_clashing_columns_do_not_change_the_fit(spark):
+    """A third of the rows has one doc_id; other columns have the names that the operator uses."""
+    data, labels = corpus(300)
+    docs = frame(spark, data + [(4, data[4][1] + " more", "en", "s", 0, "", 0, 0)] * 150)
+    for name in ("p", "u", "x", "score", "quality", "held_out", "predicted"):
+        docs = docs.withColumn(name, F.lit("7"))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality_scores(docs, table)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 450
+    assert keep_good(docs, table).columns == docs.columns
+
+
 def words_of(text):
     import re
 

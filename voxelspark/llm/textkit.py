@@ -130,14 +130,25 @@ def shingles_by_text(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes of text each (one text at least)."""
-    sizes = np.diff(buffers(batch.column(batch.schema.get_field_index(column)))[1])
+def _cuts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    sizes = np.diff(buffers(texts)[1])
     at, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if total and total + size > most:
-            yield batch.slice(at, i - at)
+            yield at, i - at
             at, total = i, 0
         total += size
-    if at < batch.num_rows:
-        yield batch.slice(at)
+    if at < len(texts):
+        yield at, len(texts) - at
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each (one text at least)."""
+    for at, n in _cuts(batch.column(batch.schema.get_field_index(column)), most):
+        yield batch.slice(at, n)
+
+
+def array_pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """Slices of an array with about ``most`` bytes of text each (one text at least)."""
+    for at, n in _cuts(texts, most):
+        yield texts.slice(at, n)
