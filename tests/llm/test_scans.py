@@ -1,9 +1,13 @@
 import base64
 import hashlib
 import json
+import random
 import re
+import sys
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxelspark.llm import pii, secrets
 from voxelspark.llm.pii import find_pii
@@ -11,6 +15,7 @@ from voxelspark.llm.secrets import scan_secrets
 
 from .helpers import frame, rows
 
+sys.set_int_max_str_digits(0)  # for the plain patterns
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -140,3 +145,101 @@ def test_secret_base_spans_and_columns(spark):
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(b[1] == j for b in base) for j in range(3))
     assert scan_secrets(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["1" * 1_000_000, "1." * 500_000, "9" * 5000 + ".1.1.1 " + "0" * 5000 + "1.2.3.4", "1 " * 50_000, "+" * 1_000_000, "+1" * 20_000, "a@" * 500_000, "@" * 1_000_000, "a." * 500_000 + "@x.y", "x" * 1_000_000 + "@", "1-" * 50_000, "(at)" * 20_000],
+    ids=lambda t: t[:6],
+)
+def test_pii_is_linear_on_long_runs(text):
+    began = time.perf_counter()
+    base = pii.base_spans(text)
+    pii.added_spans(text, base, pii.trained())
+    assert time.perf_counter() - began < 20
+    short = text[:5000] + text[-7000:]  # the plain patterns are quadratic
+    assert pii.base_spans(short) == brute_pii(short)
+
+
+def test_long_address_parts_and_chains():
+    for text in ("1.2.3.4.5.6.7.8.9", "1.2.3.256.5.6.7.8", "000000255.1.1.1", "256.1.1.1.1", "1..2.3.4.5", "1.2.3.4.", ".1.2.3.4.5.6.7", "1.2.3"):
+        assert pii.base_spans(text) == brute_pii(text), text
+
+
+def test_many_base_and_added_spans_do_not_overlap():
+    text = "a@b.co (743) 555-3824 1.2.3.4 " * 3000
+    base = pii.base_spans(text)
+    began = time.perf_counter()
+    added = pii.added_spans(text, base, pii.trained())
+    assert len(added) == 3000 and time.perf_counter() - began < 60
+    marks = bytearray(len(text))
+    for s, _, e in base:
+        marks[s:e] = b"\1" * (e - s)
+    assert not any(any(marks[s:e]) for s, _, e in added)
+
+
+def test_decoding_is_the_best_of_all_segmentations():
+    """Viterbi against enumeration, on the trained field and short texts."""
+    field = pii.trained()
+    for text in ("call (499) 555-6503", "ip 8-8-8-8 x", "jane(at)host.org", "12 34 56 78", "4111.1111.1111.1111", "1-2-3 4", "v1.2.3.4 of 5"):
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        best = {}
+        for i, j in pii._segments(tokens, text):
+            f = [field.index[x] for x in pii._features(tokens, text, i, j) if x in field.index]
+            best[i, j] = float((field.weights[:, f].sum(1) + field.bias).max())
+
+        def total(spans, best=best, tokens=tokens):
+            at = {s: i for i, (s, _) in enumerate(tokens)}, {e: i + 1 for i, (_, e) in enumerate(tokens)}
+            return sum(best[at[0][s], at[1][e]] for s, _, e in spans)
+
+        def enumerated(i, best=best, n=len(tokens)):
+            if i == n:
+                return 0.0
+            return max([enumerated(i + 1), *(s + enumerated(b) for (a, b), s in best.items() if a == i)])
+
+        assert total(field.decode(text)) == pytest.approx(enumerated(0))
+
+
+def test_added_spans_on_generated_sentences():
+    """Recall and precision over sentences of another seed than the field was trained on."""
+    field, right, found, gold = pii.trained(), 0, 0, 0
+    for text, want in pii._sentences(random.Random(99), 400):
+        base = {(s, e) for s, _, e in pii.base_spans(text)}
+        want = {x for x in want if (x[0], x[2]) not in base}
+        got = set(pii.added_spans(text, pii.base_spans(text), field))
+        right, found, gold = right + len(got & want), found + len(got), gold + len(want)
+    assert right / gold > 0.97 and right / found > 0.97, (right, found, gold)
+
+
+NESTED = b'{"alg":"HS256","x":' + b"[" * 200_000 + b"]" * 200_000 + b"}"
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["eyJ" * 330_000, "eyJabcdefgh." * 80_000, "-----BEGIN RSA PRIVATE KEY-----\n" * 30_000, "-----BEGIN " + "A " * 500_000, "-----END RSA PRIVATE KEY-----" * 30_000, "password " * 100_000, "AKIA" * 250_000, "ab1" * 330_000, ("A" * 64 + "\n") * 15_000, "token=" * 150_000,
+     b64(NESTED, True) + "." + b64(NESTED, True) + "." + "s" * 43, "-----BEGIN PRIVATE KEY-----" + "\\n" * 400_000, ("f" * 20 + " ") * 40_000],
+    ids=lambda t: t[:12].strip(),
+)
+def test_secrets_are_linear_on_long_runs(text):
+    began = time.perf_counter()
+    base, every = secrets.spans_of(text)
+    assert time.perf_counter() - began < 20
+    assert base == every
+
+
+def test_keys_in_source_text_and_wrapped():
+    lines = [b64(PKCS8)[i : i + 64] for i in range(0, len(b64(PKCS8)), 64)]
+    head, tail = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    cases = {
+        '{"key": "' + "\\n".join([head, *lines, tail]) + '\\n"}': ["pem"], "\r\n".join([head, *lines, tail]): ["pem"], "k:\n" + "\n".join(lines) + "\nend": ["der"],
+        "\n".join([head, head, *lines, tail]): ["pem"], "\n".join([head, *lines]) + "\n" + tail.replace("PRIVATE", "RSA PRIVATE"): ["der"], "0x" + EC.hex().upper(): ["der"], "\n".join([head, "not a key", tail]): [],
+    }
+    for text, want in cases.items():
+        assert [secrets.KINDS[k] for _, k, _ in secrets.spans_of(text)[1] if k > 2] == want, text[:80]
+
+
+def test_scans_ignore_clashing_columns(spark):
+    docs = table(spark, ["call (499) 555-6503", None]).withColumn("spans", F.lit("x")).withColumn("base_sha256", F.lit(1)).withColumn("n_hex", F.lit(2)).withColumn("n_ip", F.lit(3))
+    assert find_pii(docs).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
+    assert {r.doc_id: r.spans for r in find_pii(docs).collect()} == {0: "phone:5:19", 1: ""}
+    assert {r.n_hex for r in scan_secrets(docs).collect()} == {0}

@@ -252,3 +252,39 @@ def test_fingerprints_are_bit_majorities():
 @pytest.mark.parametrize("n", [0, 3])
 def test_schema_of_helpers(spark, n):
     assert frame(spark, rows()[:n]).schema.simpleString() == spark.createDataFrame([], SCHEMA).schema.simpleString()
+
+
+def test_letters_are_unicode_letters(spark):
+    texts = ["² ½ 12", "١٢", "\U0001f600 _-", "ª", "中", "x"]
+    data = [(1, "lorem ipsum dolor sit amet " * 5, "aa", "s", 0, "", 0, 0), *((100 + i, t, None, "s", 0, "", 0, 0) for i, t in enumerate(texts))]
+    got = {r.doc_id: r.lang_pred for r in identify_language(frame(spark, data)).collect()}
+    assert [got[100 + i] for i in range(6)] == ["und", "und", "und", "aa", "aa", "aa"]
+
+
+def test_language_is_the_smallest_encoding(spark):
+    """The prediction against plain encoding with the same dictionaries; ties and repeated rows too."""
+    import zstandard
+
+    from voxelspark.llm.language import BLOCK, LEVEL, normalise
+
+    rng = random.Random(12)
+    stems = {"aa": "lorem ipsum dolor sit amet".split(), "bb": "ogni cosa parla della notte".split()}
+    data = [(i, " ".join(rng.choice(stems[lang]) for _ in range(rng.randrange(1, 300))), lang, "s", 0, "", 0, 0) for i, lang in ((i, "ab"[i % 2] * 2) for i in range(60))]
+    data += [data[3], data[3], (70, "q", None, "s", 0, "", 0, 0)]
+    docs = frame(spark, data)
+    coders = {lang: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False) for lang, c in dictionaries(docs).items()}
+    want = []
+    for i, text, *_ in data:
+        t = normalise(text)
+        sizes = {lang: sum(len(c.compress(t[a : a + BLOCK])) for a in range(0, len(t), BLOCK)) for lang, c in coders.items()}
+        want.append((i, min(sorted(sizes), key=sizes.get)))
+    got = sorted((r.doc_id, r.lang_pred) for r in identify_language(docs).collect())
+    assert got == sorted(want)
+
+
+def test_language_ignores_clashing_columns(spark):
+    docs = frame(spark, [(i, "lorem ipsum dolor " * 9, "aa", "s", 0, "", 0, 0) for i in range(8)])
+    for name in ("lang_pred", "score", "held_out", "rate", "count", "r", "chunks"):
+        docs = docs.withColumn(name, F.lit(3))
+    got = identify_language(docs)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score", "confident"] and {r.lang_pred for r in got.collect()} == {"aa"}

@@ -9,9 +9,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,21 +30,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's own bounds of an Arrow batch and those for whole texts.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts: bounded by bytes, as ten thousand long texts are too many."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Arrow batches of whole texts are bounded by bytes, as ten thousand long texts are too many.
+    Plans read the bounds when they run, so they stay in the session; bounds that the caller has
+    chosen are left alone."""
+    for key, (default, small) in _BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, small)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir of the session, else one of our own (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder: spark.checkpoint.dir of the session. Only a local session, whose one
+    process sees its own disk, gets a folder of ours where none is set; a cluster's executors
+    could not read it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "voxelspark-checkpoints")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -54,23 +65,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _shuffles_end_with_the_query(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query run in here go when it ends; the setting is put back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table."""
+    """Write ``df`` once to the shared folder and return the written table. The table ends the
+    lineage, so the write's shuffle files go with it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with _shuffles_end_with_the_query(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more, and let the driver's collector find the
-    finished jobs whose shuffle files the context cleaner can then remove."""
+    """Delete written tables that nothing reads any more."""
     for df in tables:
         _delete(df.sparkSession, df.scratch_path)
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -23,6 +23,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         moved = low.join(jump, "label", "left").select("cid", F.least("label", "up").alias("label"))
         new = materialize(moved, "cc_labels")
         changed = new.join(labels.withColumnRenamed("label", "was"), "cid").filter("label <> was").limit(1).count()
+        discard(labels)
         labels = new
         if not changed:
+            discard(edges)
             return labels

@@ -9,19 +9,21 @@ Texts are lower-cased, everything ASCII that is no letter becomes a space, and w
 encoded, in blocks of ``BLOCK`` bytes so that a long text does not drown the dictionary in its
 own repetitions.
 
-Every non-null lang of the learning fold is learned, however rare. Fitting reads at most ``max_docs`` documents a language (smallest id hashes) and keeps at most
-``DICTIONARY`` bytes of them, an even share of each from a hash-chosen place of its text; texts of the fold crc32(doc_id) mod 5 = 0 and null lang are left out.
+Every non-null lang of the learning fold is learned, however rare. Fitting reads at most
+``max_docs`` documents a language (smallest id hashes) and keeps at most ``DICTIONARY`` bytes of
+them, an even share of each from a hash-chosen place of its text; texts of the fold crc32(doc_id)
+mod 5 = 0 and null lang are left out.
 
 Defined results: null text or one without a letter is ``und`` with score 0; equal sizes go to the
 smaller language name; without any learned language everything is ``und``; repeated rows get
 equal results; a null doc_id counts as the text "" for the fold; an empty table gives an empty
-result.
+result; very long texts are encoded whole, block by block; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,16 +37,21 @@ from .textkit import pieces
 
 MAX_DOCS, DICTIONARY, BLOCK, LEVEL, SHARPNESS, MARGIN = 256, 32 << 10, 2048, 5, 60.0, 0.01
 ENCODERS = 256
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """A character of the Unicode categories L*: signs such as a superscript two are none."""
+    return any(map(str.isalpha, text))
+
+
 def normalise(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACED).split())
 
 
 def dictionaries(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, bytes]:
     """Raw dictionary content for each language, from the learning fold."""
+    docs = docs.select("lang", "doc_id", F.col("text").cast("string").alias("text"))
     learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
     rate = learn.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(2.0 * max_docs) / F.col("count")).alias("rate"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
@@ -100,7 +107,7 @@ class Classifier:
 
     def classify(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out: list[tuple[str, float, bool]] = [("und", 0.0, False)] * len(texts)
-        known = {i: normalise(t) for i, t in enumerate(texts) if t is not None and self.blocks and _LETTER.search(t)}
+        known = {i: normalise(t) for i, t in enumerate(texts) if t is not None and self.blocks and has_letter(t)}
         sizes: dict[int, list[tuple[int, str]]] = {i: [] for i in known}
         for langs in self.blocks:
             encoders = self.kept or self._encoders(langs)

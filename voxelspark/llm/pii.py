@@ -12,14 +12,18 @@ digits (four at least, as no kind has fewer), at signs and spelled-out ones only
 segment has a feature.
 
 Defined results: null counts as empty; base spans stay as they are and added ones never overlap
-them; repeated rows give equal rows; an empty table gives an empty result. Texts are scanned
-whole; memory is that of one text.
+them; repeated rows give equal rows; an empty table gives an empty result; extra columns are
+ignored, whatever their names. Texts are scanned whole, in time linear in their length, runs of any
+length included; memory is that of one text. A token of more than ``LONGEST_TOKEN`` characters is
+part of no added span.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -38,10 +42,14 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
 #: The shortest kind without an at sign is an address of four numbers.
 LEAST_DIGITS = 4
+LONGEST_TOKEN = 128
+#: The most numbers that a phone number, card or address is written in.
+MOST_GROUPS = 6
 _EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: Numbers joined by dots, as many as there are; possessive, so that a long run is read once.
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _TRIGGER = re.compile(r"[0-9]+|@|[\[({<](?:at|AT)[\])}>]")
@@ -69,8 +77,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             found.append((local.start(), 0, m.end()))
             last = m.end()
         at = text.find("@", max(at + 1, last))
-    if text.find(".") >= 0:
-        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    if "." in text:
+        found += [(s, 1, e) for s, e in _addresses(text)]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -81,6 +89,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Four numbers joined by dots, each at most 255. A longer chain is read four numbers at a
+    time, as leftmost matches that do not overlap are."""
+    for m in _DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(d := p.lstrip("0")) < 4 and int(d or "0") <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -101,31 +122,43 @@ _CUES = {
     "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "cell": "phone", "telefon": "phone",
     "version": "not", "v": "not", "section": "not", "isbn": "not", "order": "not", "page": "not", "no": "not", "id": "not", "item": "not",
 }
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s*[\[({<](?:at|AT)[\])}>]\s*[A-Za-z0-9-]+(\s*(?:\.|[\[({<](?:dot|DOT)[\])}>])\s*[A-Za-z0-9-]+)+")
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s*[\[({<](?:at|AT)[\])}>]\s*[A-Za-z0-9-]+((?:\.|\s\.\s|\s*[\[({<](?:dot|DOT)[\])}>]\s*)[A-Za-z0-9-]+)+")
+#: The domain goes on after the span.
+_MORE = re.compile(r"\.[A-Za-z0-9]|\s\.\s[A-Za-z0-9]|\s*[\[({<](?:dot|DOT)[\])}>]")
 _GROUPS_PHONE = {"3-3-4", "2-4-4", "3-4-4", "3-3-2-2", "1-3-3-4", "2-3-4", "4-3-3", "3-4", "2-2-2-2-2", "4-6", "5-6", "3-7"}
 
 
-def _whole(span: str) -> list[str]:
-    """Features of the span whatever its kind."""
+@functools.lru_cache(maxsize=1 << 16)
+def _shape(span: str) -> list[str]:
+    """Features that do not depend on which digits the span has; it is given with zeros."""
     groups = _DIGITS.findall(span)
-    digits = "".join(groups)
-    n = len(digits)
+    n = sum(map(len, groups))
     letters = sum(c.isalpha() for c in span)
     seps = "".join(sorted({c for c in span if not c.isalnum()}))
     out = [f"digits={min(n, 20)}", f"letters={letters > 0}", f"seps={seps[:6]}", f"first={'d' if span[0].isdigit() else 'a' if span[0].isalpha() else span[0]}", f"last={'d' if span[-1].isdigit() else 'a' if span[-1].isalpha() else 'o'}"]
     shape = "-".join(str(len(g)) for g in groups)
     out.append(f"phone={shape in _GROUPS_PHONE and not letters}")
     out.append(f"paren={bool(re.match(r'\(\d{2,4}\)\s?\d', span))}")
-    out.append(f"luhn={12 <= n <= 19 and not letters and luhn(digits)}")
     out.append(f"four={shape in ('4-4-4-4', '4-6-5')}")
-    out.append(f"octets={len(groups) == 4 and not letters and all(len(g) < 4 and int(g) < 256 for g in groups) and len(seps) == 1}")
     out.append(f"spelled={bool(_SPELLED.fullmatch(span))}")
     out.append(f"balance={span.count('(') == span.count(')') and span.count('[') == span.count(']')}")
     return out
 
 
-def _features(tokens: list[tuple[int, int]], text: str, i: int, j: int) -> list[str]:
-    span = text[tokens[i][0] : tokens[j - 1][1]]
+_ZEROS = str.maketrans("123456789", "000000000")
+
+
+def _values(span: str) -> list[str]:
+    """Features of the digits themselves."""
+    groups = _DIGITS.findall(span)
+    digits = "".join(groups)
+    letters = any(c.isalpha() for c in span)
+    octets = len(groups) == 4 and not letters and all(len(g) < 4 and int(g) < 256 for g in groups) and len({c for c in span if not c.isalnum()}) == 1
+    return [f"luhn={12 <= len(digits) <= 19 and not letters and luhn(digits)}", f"octets={octets}"]
+
+
+def _around(tokens: list[tuple[int, int]], text: str, i: int, j: int) -> list[str]:
+    """Features of the word before and of the characters beside."""
     before = ""
     for k in range(i - 1, max(-1, i - 4), -1):
         w = text[tokens[k][0] : tokens[k][1]].lower()
@@ -134,24 +167,41 @@ def _features(tokens: list[tuple[int, int]], text: str, i: int, j: int) -> list[
             break
     left = tokens[i][0] > 0 and text[tokens[i][0] - 1]
     right = tokens[j - 1][1] < len(text) and text[tokens[j - 1][1]]
-    edge = f"edge={bool(left) and (left.isalnum() or left in '-.@/+_')}{bool(right) and (right.isalnum() or right in '-@/_')}"
-    return [*_whole(span), f"cue={before}", edge]
+    more = f"more={bool(_MORE.match(text, tokens[j - 1][1]))}"
+    return [f"cue={before}", more, f"edge={bool(left) and (left.isalnum() or left in '-.@/+_')}{bool(right) and (right.isalnum() or right in '-@/_')}"]
+
+
+def _features(tokens: list[tuple[int, int]], text: str, i: int, j: int) -> list[str]:
+    span = text[tokens[i][0] : tokens[j - 1][1]]
+    return [*_shape(span.translate(_ZEROS)), *_values(span), *_around(tokens, text, i, j)]
 
 
 def _segments(tokens: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:
-    """Candidate segments: they start and end at digits, letters or an opening bracket or plus
-    sign, hold a digit or a spelled-out at sign and do not run over a line's end."""
-    out = []
-    for i, (s, _) in enumerate(tokens):
-        if not (text[s].isalnum() or text[s] in "(+"):
+    """Candidate segments. They start and end at digits, letters or an opening bracket or plus
+    sign, do not run over a line's end, and are such as some kind can be: with a spelled-out at
+    sign, or without letters, with at most ``MOST_GROUPS`` numbers and with seven digits to
+    nineteen or four numbers."""
+    n = len(tokens)
+    spelled = [text[s:e] in ("at", "AT") and s > 0 and text[s - 1] in "[({<" for s, e in tokens]
+    ahead, out = [n] * (n + 1), []
+    for i in range(n - 1, -1, -1):
+        ahead[i] = i if spelled[i] else ahead[i + 1]
+    for i, (s, e) in enumerate(tokens):
+        if not (text[s].isalnum() or text[s] in "(+") or e - s > LONGEST_TOKEN:
             continue
-        held = False
-        for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
+        digits, groups, letters, at, may = 0, 0, False, False, ahead[i] < i + MAX_TOKENS
+        for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
             a, b = tokens[j - 1]
-            if j - 1 > i and "\n" in text[tokens[j - 2][1] : a]:
+            if b - a > LONGEST_TOKEN or (j - 1 > i and "\n" in text[tokens[j - 2][1] : a]):
                 break
-            held = held or text[a].isdigit() or text[a:b] in ("at", "AT")
-            if held and (text[b - 1].isalnum()):
+            if "0" <= text[a] <= "9":
+                digits, groups = digits + b - a, groups + 1
+            elif text[a].isalpha():
+                letters, at = True, at or spelled[j - 1]
+            numbers = not letters and digits <= 19 and groups <= MOST_GROUPS
+            if not (may or numbers):
+                break
+            if (at or (numbers and (digits >= 7 or groups == 4))) and text[b - 1].isalnum():
                 out.append((i, j))
     return out
 
@@ -208,16 +258,26 @@ class SemiMarkov:
                 grad_b += d
         return grad, grad_b
 
+    def _score(self, names: list[str]) -> tuple[float, ...]:
+        f = [c for c in map(self.index.get, names) if c is not None]
+        return tuple((self.weights[:, f].sum(1)).tolist())
+
     def decode(self, text: str) -> list[tuple[int, int, int]]:
         """The best segmentation's spans."""
         tokens = [m.span() for m in _TOKEN.finditer(text)]
-        n, into = len(tokens), {}
+        n, into, bias = len(tokens), {}, self.bias.tolist()
+        shapes, around = functools.lru_cache(maxsize=4096)(lambda z: self._score(_shape(z))), {}
         for i, j in _segments(tokens, text):
-            f = [c for c in (self.index.get(x) for x in _features(tokens, text, i, j)) if c is not None]
-            s = self.weights[:, f].sum(1) + self.bias
-            k = int(np.argmax(s))
+            span = text[tokens[i][0] : tokens[j - 1][1]]
+            parts = [shapes(span.translate(_ZEROS))]
+            for names in (tuple(_values(span)), tuple(_around(tokens, text, i, j))):
+                if names not in around:
+                    around[names] = self._score(list(names))
+                parts.append(around[names])
+            s = [sum(x) for x in zip(bias, *parts, strict=True)]
+            k = max(range(len(KINDS)), key=s.__getitem__)
             if s[k] > 0:
-                into.setdefault(j, []).append((float(s[k]), i, k))
+                into.setdefault(j, []).append((s[k], i, k))
         best, back = [0.0] * (n + 1), [None] * (n + 1)
         for j in range(1, n + 1):
             best[j] = best[j - 1]
@@ -291,6 +351,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov,
     """What the field finds beside the base spans: each neighbourhood of a trigger, cut at base
     spans, is decoded once."""
     covered = sorted((s, e) for s, _, e in base)
+    reach = list(itertools.accumulate((e for _, e in covered), max))  # the furthest end so far
     regions: list[list[int]] = []
     c = 0
     for m in _TRIGGER.finditer(text):
@@ -316,7 +377,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov,
             while high < len(text) and high - low < 4096 and text[high].isalnum() and text[high - 1].isalnum():
                 high += 1
             out += [(low + s, k, low + e) for s, k, e in model.decode(text[low:high])]
-    return [x for x in out if not any(x[0] < e and s < x[2] for s, e in covered)]
+    before = [bisect.bisect_left(covered, (e,)) for _, _, e in out]  # base spans that start before the end
+    return [x for x, n in zip(out, before, strict=True) if not n or reach[n - 1] <= x[0]]
 
 
 @functools.cache

@@ -8,18 +8,23 @@ or hex characters are decoded and reported only if their bytes have the structur
 * openssh - the OpenSSH private key container
 * token   - three dot-joined base64url parts of which the first decodes to a JSON object with a
             known "alg"
-* pem     - a PEM block whose body decodes to one of the above
-
-Scanning is one pass over whole texts without a shuffle. Defined results: null counts as empty;
-overlapping spans of different kinds are all reported, except that an added span inside a base
-one is left out; repeated rows give equal rows; an empty table gives an empty result.
+* pem     - a PEM block whose body decodes to one of the above; line ends may be written as \\n,
+            as in JSON or source text
+
+Wrapped base64 is joined before it is decoded. Scanning is one pass over whole texts without a
+shuffle, in time linear in their length, unclosed blocks, long runs and deeply nested payloads
+included. Defined results: null counts as empty; overlapping spans of different kinds are all
+reported, except that an added span inside another one is left out; repeated rows give equal rows;
+an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import binascii
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -37,9 +42,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}+")
+#: Lines of base64 of a usual width, then the last one.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{48,76}+(?:\r?\n|\\n))++(?:[A-Za-z0-9+/]++={0,2}+)?")
+_CHAIN = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]++")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_END = re.compile(r"-----END ([A-Z0-9 ]*PRIVATE KEY)-----")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s:,\\.-]*+")
 _ALGORITHMS = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA", "none"}
 
 
@@ -135,39 +144,74 @@ def is_token(run: str) -> bool:
             return False
         try:
             parts.append(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))))
-        except (ValueError, binascii.Error):
+        except (ValueError, binascii.Error, RecursionError):
             return False
     ok = isinstance(parts[0], dict) and isinstance(parts[1], dict) and parts[0].get("alg") in _ALGORITHMS
     return ok and (len(sign) >= 16 or parts[0]["alg"] == "none")
 
 
+def _pem_spans(text: str) -> Iterator[tuple[int, int]]:
+    """From the last BEGIN line before each END line of the same label, if the body is a key."""
+    begins = list(_BEGIN.finditer(text))
+    starts, least = [m.start() for m in begins], 0
+    for end in _END.finditer(text) if begins else ():
+        n = bisect.bisect_left(starts, end.start())
+        begin, least, was = begins[n - 1] if n else None, end.end(), least
+        if begin is None or begin.start() < was or begin[1] != end[1] or begin.end() > end.start() or not _BODY.fullmatch(text, begin.end(), end.start()):
+            continue
+        lines = text[begin.end() : end.start()].replace("\\r", "").replace("\\n", "\n").split("\n")
+        body = "".join(line.strip() for line in lines if ":" not in line and "," not in line)
+        if any(is_private_der(d) or is_openssh(d) for d in decode(body)) or (any("ENCRYPTED" in line for line in lines) and len(body) >= 64):
+            yield begin.start(), end.end()
+
+
+def _token_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Three parts of a dotted chain, of which the first holds a JSON header."""
+    for m in _CHAIN.finditer(text):
+        if "eyJ" not in m[0]:
+            continue
+        parts = m[0].split(".")
+        at = list(itertools.accumulate((len(p) + 1 for p in parts), initial=m.start()))
+        i = 0
+        while i + 2 < len(parts):
+            k = parts[i].find("eyJ")
+            if k >= 0 and len(parts[i]) - k >= 11 and parts[i + 1] and is_token(".".join((parts[i][k:], parts[i + 1], parts[i + 2]))):
+                yield at[i] + k, at[i + 2] + len(parts[i + 2])
+                i += 3
+            else:
+                i += 1
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the runs whose structure is confirmed."""
     found = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = "".join(line for line in re.split(r"\s+", m[2]) if ":" not in line and "," not in line)
-            if any(is_private_der(d) or is_openssh(d) for d in decode(body)) or ("ENCRYPTED" in m[2] and len(body) >= 64):
-                found.append((m.start(), 3, m.end()))
+        found += [(s, 3, e) for s, e in _pem_spans(text)]
     if "eyJ" in text:
-        found += [(m.start(), 4, m.end()) for m in _TOKEN.finditer(text) if is_token(m[0])]
-    for m in _RUN.finditer(text):
-        for data in decode(m[0]):
-            kind = 5 if is_openssh(data) else 6 if is_private_der(data) else 0
-            if kind:
-                found.append((m.start(), kind, m.end()))
-                break
+        found += [(s, 4, e) for s, e in _token_spans(text)]
+    for pattern in (_WRAPPED, _RUN):
+        for m in pattern.finditer(text):
+            skip = 2 * (m[0][:2] in ("0x", "0X"))
+            run = m[0][skip:] if pattern is _RUN else re.sub(r"\r?\n|\\n", "", m[0])
+            for data in decode(run):
+                kind = 5 if is_openssh(data) else 6 if is_private_der(data) else 0
+                if kind:
+                    found.append((m.start() + (skip if pattern is _RUN else 0), kind, m.end()))
+                    break
     return found
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: an added one inside another span is left out."""
+    """Base spans, and all spans: an added one inside another span is left out, of added ones the
+    longer stays."""
     base = base_spans(text)
-    added = confirmed_spans(text)
-    taken = list(base)
-    for s, k, e in sorted(added, key=lambda x: (x[1], x[0])):
-        if not any(a <= s and e <= b for a, _, b in taken):
+    taken, reach = sorted(base), 0
+    starts, ends = [s for s, _, _ in taken], list(itertools.accumulate((e for _, _, e in taken), max))
+    for s, k, e in sorted(confirmed_spans(text), key=lambda x: (x[0], -x[2], x[1])):
+        n = bisect.bisect_right(starts, s)  # base spans that start no later
+        if e > reach and not (n and ends[n - 1] >= e):
             taken.append((s, k, e))
+            reach = e
     return base, sorted(taken)
 
 
