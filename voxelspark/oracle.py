@@ -8,9 +8,13 @@ from .functions import footprint as fp
 from .functions import weights as W
 from .queries import CUBE, MIXED
 
-SHAPE = (10, 50, 64)
-EMB = "(SELECT CAST(vec_id // 50 AS INT) AS z, CAST(vec_id % 50 AS INT) AS y, CAST(i - 1 AS INT) AS x, CAST(floor(CAST(embedding[i] AS DOUBLE) * 1000) AS INT) AS v FROM embeddings, range(1, 65) t(i))"
-LABELS = "(SELECT CAST(vec_id // 50 AS INT) AS z, CAST(vec_id % 50 AS INT) AS y, CAST(i AS INT) AS x, label + 1 AS v FROM embeddings, range(64) t(i))"
+#: Rows and columns of a slice; the number of slices follows the table.
+NY, NX = 50, 64
+NZ = f"(SELECT CAST(coalesce(max(vec_id), 0) // {NY} + 1 AS INT) FROM embeddings)"
+#: Every vector that the slices have room for; what the table lacks is 0.
+_ROOM = f"(SELECT CAST(id // {NY} AS INT) AS z, CAST(id % {NY} AS INT) AS y, e.* FROM (SELECT unnest(range({NZ} * {NY})) AS id) g LEFT JOIN embeddings e ON e.vec_id = g.id)"
+EMB = f"(SELECT z, y, CAST(i - 1 AS INT) AS x, CAST(coalesce(floor(CAST(embedding[i] AS DOUBLE) * 1000), 0) AS INT) AS v FROM {_ROOM}, range(1, {NX + 1}) t(i))"
+LABELS = f"(SELECT z, y, CAST(i AS INT) AS x, coalesce(label + 1, 0) AS v FROM {_ROOM}, range({NX}) t(i))"
 
 
 def mask(least: int) -> str:
@@ -45,14 +49,14 @@ def stencil(of: str, cells: dict[tuple[int, int, int], float | int], agg: str =
     values = ", ".join(f"({a}, {b}, {c}, {w!r})" for (a, b, c), w in cells.items())
     kind = "DOUBLE" if any(isinstance(w, float) for w in cells.values()) else "INT"
 
-    def at(axis: str, n: int) -> str:
+    def at(axis: str, n: str | int) -> str:
         i = f"(c.{axis} + o.d{axis})"
-        return f"CASE WHEN {i} < 0 THEN -{i} WHEN {i} >= {n} THEN {2 * n - 1} - {i} ELSE {i} END" if ref else i
+        return f"CASE WHEN {i} < 0 THEN -{i} WHEN {i} >= {n} THEN 2 * {n} - 1 - {i} ELSE {i} END" if ref else i
 
-    on = " AND ".join(f"s.{a} = {at(a, n)}" for a, n in zip("zyx", SHAPE, strict=True))
+    on = " AND ".join(f"s.{a} = {at(a, n)}" for a, n in zip("zyx", ("d.nz", NY, NX), strict=True))
     return (
-        f"(WITH b AS MATERIALIZED (SELECT * FROM {of}), o AS (SELECT dz, dy, dx, CAST(w AS {kind}) AS w FROM (VALUES {values}) t(dz, dy, dx, w)) "
-        f"SELECT c.z, c.y, c.x, {agg} AS v FROM b c CROSS JOIN o JOIN b s ON {on} GROUP BY c.z, c.y, c.x, c.v)"
+        f"(WITH b AS MATERIALIZED (SELECT * FROM {of}), o AS (SELECT dz, dy, dx, CAST(w AS {kind}) AS w FROM (VALUES {values}) t(dz, dy, dx, w)), d AS (SELECT max(z) + 1 AS nz FROM b) "
+        f"SELECT c.z, c.y, c.x, {agg} AS v FROM b c CROSS JOIN o CROSS JOIN d JOIN b s ON {on} GROUP BY c.z, c.y, c.x, c.v)"
     )
 
 
@@ -128,7 +132,7 @@ def member(of: str, inside: str, outside: str) -> str:
     return f"(SELECT e.z, e.y, e.x, CASE WHEN r.z IS NULL THEN {outside} ELSE {inside} END AS v FROM {EMB} e LEFT JOIN {of} r ON e.z = r.z AND e.y = r.y AND e.x = r.x)"
 
 
-FACE = f"(z = 0 OR z = {SHAPE[0] - 1} OR y = 0 OR y = {SHAPE[1] - 1} OR x = 0 OR x = {SHAPE[2] - 1})"
+FACE = f"(z = 0 OR z = {NZ} - 1 OR y = 0 OR y = {NY - 1} OR x = 0 OR x = {NX - 1})"
 HOLES = flood(point(f"CASE WHEN v < -150 AND {FACE} THEN 1 ELSE 0 END"), point("CASE WHEN v < -150 THEN 1 ELSE 0 END"))
 SEED_300_IN_150 = flood(mask(300), mask(150))
 LABELLING = """
@@ -151,7 +155,7 @@ SELECT CAST(bin + 1 AS BIGINT) AS threshold FROM s ORDER BY variance DESC, bin D
 
 def edge_count(name: str, sizes: tuple[int, int, int], axes: str) -> str:
     low, high = box(LABELS, sizes, "min"), box(LABELS, sizes, "max")
-    border = " OR ".join(f"a.{c} = 0 OR a.{c} = {n - 1}" for c, n in zip("zyx", SHAPE, strict=True) if c in axes)
+    border = " OR ".join(f"a.{c} = 0 OR a.{c} = {n} - 1" for c, n in zip("zyx", (NZ, NY, NX), strict=True) if c in axes)
     edge = zipped(low, high, f"CASE WHEN a.v <> b.v OR {border} THEN 1 ELSE 0 END")
     return f"SELECT CAST(a.v AS BIGINT) AS label, count(*) AS {name} FROM {LABELS} a JOIN {edge} e ON a.z = e.z AND a.y = e.y AND a.x = e.x WHERE e.v = 1 GROUP BY 1"
 
@@ -174,10 +178,25 @@ def diffusion(cells: list[tuple[int, int, int]], clamp: bool) -> str:
     if not clamp:
         return stencil(DOUBLE, dict.fromkeys(cells, 1), f"c.v + 0.1 * sum({flow})", ref=False)
     values = ", ".join(str(c) for c in cells)
-    on = f"s.z = c.z AND s.y = greatest(0, least({SHAPE[1] - 1}, c.y + o.dy)) AND s.x = greatest(0, least({SHAPE[2] - 1}, c.x + o.dx))"
+    on = f"s.z = c.z AND s.y = greatest(0, least({NY - 1}, c.y + o.dy)) AND s.x = greatest(0, least({NX - 1}, c.x + o.dx))"
     return f"(WITH b AS MATERIALIZED (SELECT * FROM {DOUBLE}) SELECT c.z, c.y, c.x, c.v + 0.1 * sum({flow}) AS v FROM b c CROSS JOIN (VALUES {values}) o(dz, dy, dx) JOIN b s ON {on} GROUP BY c.z, c.y, c.x, c.v)"
 
 
+def reconstructed(seed: str, mask: str, dilates: bool, value: str = "v", steps: int = 100) -> str:
+    """Geodesic steps, more than any path of the tables needs; the last two must agree, else the
+    statement returns no row."""
+    grow, bound = ("max", "least") if dilates else ("min", "greatest")
+    parts = [f"s0 AS MATERIALIZED (SELECT a.z, a.y, a.x, a.v, b.v AS w FROM {seed} a JOIN {mask} b ON a.z = b.z AND a.y = b.y AND a.x = b.x)"]
+    for k in range(steps):
+        of = f"s{k}"
+        for axis in "zyx":
+            others = ", ".join(a for a in "zyx" if a != axis)
+            of = f"(SELECT z, y, x, w, {grow}(v) OVER (PARTITION BY {others} ORDER BY {axis} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM {of})"
+        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT z, y, x, {bound}(v, w) AS v, w FROM {of})")
+    same = f"(SELECT sum(v::BIGINT) FROM s{steps}) = (SELECT sum(v::BIGINT) FROM s{steps - 1})"
+    return f"WITH {', '.join(parts)} SELECT z, y, x, CAST({value} AS BIGINT) AS v FROM s{steps} WHERE {same}"
+
+
 EIGHT = [(0, a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 SIX = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
 LARGEST = box(EMB, THREE, "max")
@@ -227,6 +246,9 @@ ORACLE_SQL: dict[str, str] = {
     "dilation_custom": ints(stencil(EMB, cells_of(MIXED), "max(s.v)", ref=False)),
     "geodesic_erosion": ints(zipped(box(LARGEST, THREE, "min"), EMB, "greatest(a.v, b.v)")),
     "geodesic_dilation": ints(zipped(LARGEST, LARGEST, "least(a.v, b.v)")),
+    "reconstruction": reconstructed(box(EMB, THREE, "min"), EMB, True),
+    "white_tophat_reconstruction": reconstructed(chain(EMB, THREE, "min", "max"), EMB, True, "w - v"),
+    "black_tophat_reconstruction": reconstructed(chain(EMB, THREE, "max", "min"), EMB, False, "v - w"),
     "white_tophat": ints(zipped(EMB, chain(EMB, THREE, "min", "max"), "a.v - b.v")),
     "black_tophat": ints(zipped(chain(EMB, THREE, "max", "min"), EMB, "a.v - b.v")),
     "binary_erosion": ints(box(mask(0), PLANE, "min")),
@@ -244,7 +266,7 @@ ORACLE_SQL: dict[str, str] = {
     "compute_area": COUNTS.replace("NAME", "area"),
     "compute_surface": edge_count("area", THREE, "zyx"),
     "compute_perimeter": edge_count("perimeter", PLANE, "yx"),
-    "compute_fraction": f"SELECT CAST(v AS BIGINT) AS label, CAST(floor(100 * count(*) / 32000) AS BIGINT) AS fraction FROM {LABELS} GROUP BY 1",
+    "compute_fraction": f"SELECT CAST(v AS BIGINT) AS label, CAST(floor(100 * count(*) / (SELECT count(*) FROM {LABELS})) AS BIGINT) AS fraction FROM {LABELS} GROUP BY 1",
     "labelling": LABELLING,
     "remove_islands": ints(f"(SELECT z, y, x, CASE WHEN count(*) OVER (PARTITION BY v) < 60 THEN 0 ELSE v END AS v FROM {EMB})"),
     "local_binary_pattern": ints(LBP),
