@@ -28,7 +28,19 @@ def correlate(a: np.ndarray, axis: int, w: dict[int, float]) -> np.ndarray:
     low, high = max(0, -min(w)), max(0, max(w))
     n = a.shape[axis]
     p = np.take(a, ref_index(n, low, high), axis)
-    return sum(np.take(p, np.arange(o + low, o + low + n), axis) * v for o, v in w.items())
+    at, total = [slice(None)] * a.ndim, None
+    for o, v in w.items():
+        at[axis] = slice(o + low, o + low + n)
+        part = p[tuple(at)]
+        if total is None:
+            total = part * v
+        elif v == 1:
+            total += part
+        elif v == -1:
+            total -= part
+        else:
+            total += part * v
+    return total
 
 
 def gaussian2d(a: np.ndarray, sigma: float, size: int) -> np.ndarray:

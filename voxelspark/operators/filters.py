@@ -10,12 +10,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import kernels, weights
+from ..functions import kernels, stencils, weights
+from ..plans.blocks import on_blocks
 from ..plans.box import axis_pass, neighbours, over, pad, reach, separable
 from ..plans.halo import map_blocks, map_slices
 from ..volume import Volume
 
 
+#: Cells of a median window from which blocks carry less than windows do.
+BLOCK_MEDIAN = 27
+
+
 def _flat(image: Volume, type3d: int) -> bool:
     return type3d == 0 or image.shape[0] == 1
 
@@ -30,6 +35,7 @@ def smoothed(df, shape, sigma: float, size: int, flat: bool, keep=()):
     return separable(df, shape, [None if flat else w, w, w], keep=keep)
 
 
+@on_blocks(stencils.gaussian)
 def gaussian(image: Volume, sigma: float = 1, type3d: int = 1, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1, dtype: str = "float32") -> Volume:
     """Weights exp(-d^2 / (2 sigma^2)) over ceil(4 sigma + 0.5) cells; the result of the 3-D form
     is its absolute value."""
@@ -37,6 +43,7 @@ def gaussian(image: Volume, sigma: float = 1, type3d: int = 1, verbose: int = 0,
     return out if _flat(image, type3d) else out.map(F.abs("v"))
 
 
+@on_blocks(stencils.mean)
 def mean(image: Volume, windowSize: int = 3, type3d: int = 1, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1, dtype: str = "float32") -> Volume:
     w = weights.flat(windowSize)
     axes = 2 if _flat(image, type3d) or windowSize == 1 else 3
@@ -44,10 +51,13 @@ def mean(image: Volume, windowSize: int = 3, type3d: int = 1, verbose: int = 0,
     return image.with_df(df.withColumn("v", F.col("v") / windowSize**axes), dtype)
 
 
-def median(image: Volume, nx: int = 1, ny: int = 1, nz: int = 1, strategy: str = "window") -> Volume:
-    """nx rows by ny columns (by nz slices). Windows gather the values, which are sorted inside
-    the JVM; ``strategy="block"`` runs an array kernel on blocks instead, for large windows."""
+@on_blocks(stencils.median)
+def median(image: Volume, nx: int = 1, ny: int = 1, nz: int = 1, strategy: str | None = None) -> Volume:
+    """nx rows by ny columns (by nz slices). ``strategy="window"`` gathers the values in windows and
+    sorts them inside the JVM; ``"block"`` runs an array kernel on blocks with a halo, in one
+    shuffle, and is the choice from ``BLOCK_MEDIAN`` cells on."""
     sizes = (nz, nx, ny)
+    strategy = strategy or ("block" if nx * ny * nz >= BLOCK_MEDIAN else "window")
     if strategy == "block":
         return map_blocks(image, lambda a: kernels.median(a, sizes), [s // 2 + 1 for s in sizes])
     df = image.df.withColumn("v", F.array("v"))
@@ -66,6 +76,7 @@ def median(image: Volume, nx: int = 1, ny: int = 1, nz: int = 1, strategy: str =
     return image.with_df(df.withColumn("v", middle))
 
 
+@on_blocks(stencils.laplace)
 def laplace(image: Volume, type3d: int = 1, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1, dtype: str = "float32") -> Volume:
     """Six (four) times the centre minus the face neighbours. Each axis adds its own term, so one
     pass an axis suffices."""
@@ -78,6 +89,7 @@ def laplace(image: Volume, type3d: int = 1, verbose: int = 0, gpuMemory: float =
     return image.with_df(df.withColumn("v", F.col("s")), dtype)
 
 
+@on_blocks(stencils.unsharp_mask)
 def unsharp_mask(image: Volume, radius: float = 1, ammount: float = 1, threshold: float = 0, type3d: int = 1, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1, dtype: str = "float32") -> Volume:
     """Add ``ammount`` of the difference from the Gaussian mean where it reaches ``threshold``.
     The original value travels through the passes, so there is no join."""
@@ -103,23 +115,28 @@ def _gradient(image: Volume, smooth: dict[int, float], type3d: int, dtype: str)
     return image.with_df(df.withColumn("v", F.sqrt(squares)), dtype)
 
 
+@on_blocks(stencils.sobel)
 def sobel(image: Volume, type3d: int = 1, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1, dtype: str = "float32") -> Volume:
     return _gradient(image, weights.SMOOTH, type3d, dtype)
 
 
+@on_blocks(stencils.prewitt)
 def prewitt(image: Volume, type3d: int = 1, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1, dtype: str = "float32") -> Volume:
     return _gradient(image, weights.FLAT, type3d, dtype)
 
 
+@on_blocks(stencils.canny)
 def canny(image: Volume, sigma: float = 1, low: float = 0.1, high: float = 0.3) -> Volume:
     """Slice by slice: eight dependent neighbourhoods in one array kernel, with one shuffle."""
     return map_slices(image, lambda a: kernels.canny(a, sigma, low, high), "float32")
 
 
+@on_blocks(stencils.deriche)
 def deriche(image: Volume, alpha: float = 1, low: float = 0.1, high: float = 0.3) -> Volume:
     return map_slices(image, lambda a: kernels.deriche(a, alpha, low, high), "float32")
 
 
+@on_blocks(stencils.local_binary_pattern)
 def local_binary_pattern(image: Volume) -> Volume:
     """Bit 7 - k is set when the k-th of eight neighbours, clockwise from the upper left, is
     greater than the centre."""

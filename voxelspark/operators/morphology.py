@@ -11,7 +11,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import footprint as fp
-from ..functions import kernels
+from ..functions import kernels, stencils
+from ..plans import blocks
+from ..plans.blocks import on_blocks
 from ..plans.box import AXES, box
 from ..plans.fixpoint import fixpoint
 from ..volume import SPARK_TYPES, Volume
@@ -39,18 +41,22 @@ def _grey(image: Volume, footprint, agg) -> Volume:
     return image.with_df(_stencil(image, f, F.col("v"), agg))
 
 
+@on_blocks(stencils.erosion)
 def erosion(image: Volume, footprint, out=None, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1) -> Volume:
     return _grey(image, footprint, F.min)
 
 
+@on_blocks(stencils.dilation)
 def dilation(image: Volume, footprint, out=None, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1) -> Volume:
     return _grey(image, footprint, F.max)
 
 
+@on_blocks(stencils.closing)
 def closing(image: Volume, footprint, **hints) -> Volume:
     return erosion(dilation(image, footprint), footprint)
 
 
+@on_blocks(stencils.opening)
 def opening(image: Volume, footprint, **hints) -> Volume:
     return dilation(erosion(image, footprint), footprint)
 
@@ -76,6 +82,8 @@ def _erodes(method: str) -> bool:
 def reconstruction(image: Volume, mask: Volume, method: str = "dilation", out=None, verbose: int = 0, ngpus: int = -1, block=None) -> Volume:
     """The geodesic operator repeated until nothing changes."""
     erodes, sizes = _erodes(method), kernels.geodesic_sizes(image.shape)
+    if isinstance(image, blocks.BlockVolume) and isinstance(mask, blocks.BlockVolume):
+        return blocks.reconstruct(image, mask, erodes)
     df = fixpoint(image.joined(mask), image.shape, lambda v, w: kernels.reconstruct(v, w, sizes, erodes), SPARK_TYPES[image.dtype], block)
     return image.with_df(df)
 
@@ -84,10 +92,12 @@ def _minus(a: Volume, b: Volume) -> Volume:
     return a.zip(b, F.col("v") - F.col("w"))
 
 
+@on_blocks(stencils.white_tophat)
 def white_tophat(image: Volume, footprint, **hints) -> Volume:
     return _minus(image, opening(image, footprint))
 
 
+@on_blocks(stencils.black_tophat)
 def black_tophat(image: Volume, footprint, **hints) -> Volume:
     return _minus(closing(image, footprint), image)
 
@@ -115,22 +125,27 @@ def _binary(image: Volume, footprint, agg) -> Volume:
     return image.with_df(left.withColumn("v", F.coalesce("v", F.lit(1 if agg is F.min else 0))))
 
 
+@on_blocks(stencils.binary_erosion)
 def binary_erosion(image: Volume, footprint, **hints) -> Volume:
     return _binary(image, footprint, F.min)
 
 
+@on_blocks(stencils.binary_dilation)
 def binary_dilation(image: Volume, footprint, **hints) -> Volume:
     return _binary(image, footprint, F.max)
 
 
+@on_blocks(stencils.binary_closing)
 def binary_closing(image: Volume, footprint, **hints) -> Volume:
     return binary_erosion(binary_dilation(image, footprint), footprint)
 
 
+@on_blocks(stencils.binary_opening)
 def binary_opening(image: Volume, footprint, **hints) -> Volume:
     return binary_dilation(binary_erosion(image, footprint), footprint)
 
 
+@on_blocks(stencils.binary_smoothing)
 def binary_smoothing(image: Volume, footprint, **hints) -> Volume:
     return binary_closing(binary_opening(image, footprint), footprint)
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import stencils
+from ..plans.blocks import on_blocks
 from ..volume import Volume
 
 
+@on_blocks(stencils.complement_binary)
 def complement_binary(image: Volume) -> Volume:
     return image.map(1 - F.col("v"))
 
@@ -21,6 +24,7 @@ def subtraction(a: Volume, b: Volume) -> Volume:
     return a.zip(b, F.col("w") - F.col("v"))
 
 
+@on_blocks(stencils.custom_abs)
 def custom_abs(image: Volume) -> Volume:
     return image.map(F.abs("v"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import kernels
 from ..plans.box import AXES, box
 from ..plans.fixpoint import fixpoint
 from ..plans.halo import map_whole
+from ..plans.scratch import written
 from ..volume import Volume
 
 
@@ -64,6 +67,17 @@ def compute_fraction(image: Volume) -> DataFrame:
     return counts.select("label", F.floor(100 * F.col("n") / total).cast("long").alias("fraction"))
 
 
+def _ranked(roots: DataFrame) -> DataFrame:
+    """(v, r): the rows numbered from 1 in order. Ranges of v are numbered each in its own task,
+    from the sum of the sizes of the ranges before, one row a range."""
+    ranged, _ = written(roots.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "roots")
+    counts = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}
+    before = list(itertools.accumulate((counts[p] for p in sorted(counts)), initial=0))
+    offsets = ranged.sparkSession.createDataFrame(list(zip(sorted(counts), before, strict=False)), "part int, before long")
+    own = F.row_number().over(Window.partitionBy("part").orderBy("v"))
+    return ranged.withColumn("own", own).join(F.broadcast(offsets), "part").select("v", (F.col("own") + F.col("before")).alias("r"))
+
+
 def labelling(image: Volume, relabel: bool = False, block=None) -> Volume:
     """Connected parts of the non-zero voxels, 26 neighbours (eight in a single slice): the label
     is one more than the smallest voxel index; ``relabel`` counts them 1, 2, ... instead."""
@@ -72,8 +86,7 @@ def labelling(image: Volume, relabel: bool = False, block=None) -> Volume:
     df = image.df.select(*AXES, index.alias("v"), (F.col("v") != 0).alias("w"))
     df = fixpoint(df, image.shape, kernels.spread_labels, "bigint", block)
     if relabel:
-        roots = df.where("v > 0").select("v").distinct()
-        rank = roots.withColumn("r", F.row_number().over(Window.orderBy("v")).cast("long"))
+        rank = _ranked(df.where("v > 0").select("v").distinct())
         df = _lookup(df, rank).select(*AXES, F.coalesce("r", F.lit(0)).alias("v"))
     return Volume(df, image.shape, "uint32").with_df(df, "uint32")
 

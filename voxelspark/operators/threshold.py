@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import weights
+from ..functions import stencils, weights
+from ..plans.blocks import on_blocks
 from ..plans.box import axis_pass
 from ..volume import Volume
 from .filters import _flat, smoothed
@@ -25,6 +26,7 @@ def _moments(image: Volume, size: int, type3d: int, squares: bool) -> DataFrame:
     return df.withColumn("m", F.col("m") / count).withColumn("q", F.col("q") / count if squares else F.lit(0.0))
 
 
+@on_blocks(stencils.threshold_gaussian)
 def threshold_gaussian(image: Volume, sigma: float = 1, weight: float = 0, type3d: int = 1, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1) -> Volume:
     """The window has ceil(6 sigma + 1) cells."""
     df = image.df.withColumn("v", F.col("v").cast("double")).withColumn("own", F.col("v"))
@@ -32,6 +34,7 @@ def threshold_gaussian(image: Volume, sigma: float = 1, weight: float = 0, type3
     return image.with_df(df.withColumn("v", above(F.col("own"), F.col("v") - weight)), "float32")
 
 
+@on_blocks(stencils.threshold_mean)
 def threshold_mean(image: Volume, windowSize: int = 3, weight: float = 0, type3d: int = 1, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1) -> Volume:
     df = _moments(image, windowSize, type3d, False)
     return image.with_df(df.withColumn("v", above(F.col("own"), F.col("m") - weight)), "float32")
@@ -49,12 +52,14 @@ def _deviation():
     return F.sqrt(F.greatest(F.col("q") - F.col("m") ** 2, F.lit(0.0)))
 
 
+@on_blocks(stencils.threshold_niblack)
 def threshold_niblack(image: Volume, windowSize: int = 3, weight: float = 0, type3d: int = 1, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1) -> Volume:
     """mean - weight * deviation."""
     df = _moments(image, windowSize, type3d, True)
     return image.with_df(df.withColumn("v", above(F.col("own"), F.col("m") - weight * _deviation())), "float32")
 
 
+@on_blocks(stencils.threshold_sauvola)
 def threshold_sauvola(image: Volume, windowSize: int = 3, weight: float = 0, range: float = 1, type3d: int = 1, verbose: int = 0, gpuMemory: float = 0.4, ngpus: int = -1) -> Volume:
     """mean * (1 + weight * (deviation / range - 1))."""
     df = _moments(image, windowSize, type3d, True)

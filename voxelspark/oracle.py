@@ -173,13 +173,18 @@ LBP = stencil(EMB, {(0, a, b): 1 << (7 - k) for k, (a, b) in enumerate([(-1, -1)
 POOL = stencil(EMB, gauss(0.5, 3, True))
 
 
-def diffusion(cells: list[tuple[int, int, int]], clamp: bool) -> str:
-    flow = "(s.v - c.v) / (1 + pow((s.v - c.v) / 200.0, 2))"
+#: Flow for a difference d, by the option's number.
+FLOWS = {1: "d * exp(-pow(d / 200.0, 2))", 2: "d / (1 + pow(d / 200.0, 2))", 3: "d * (1 - tanh(pow(d / 200.0, 2)))"}
+
+
+def diffusion(cells: list[tuple[int, int, int]], clamp: bool, option: int = 2, of: str | None = None) -> str:
+    """One step; ``clamp`` repeats the border, else neighbours outside take no part."""
+    of, flow = of or DOUBLE, FLOWS[option].replace("d ", "(s.v - c.v) ").replace("(d ", "((s.v - c.v) ")
     if not clamp:
-        return stencil(DOUBLE, dict.fromkeys(cells, 1), f"c.v + 0.1 * sum({flow})", ref=False)
+        return stencil(of, dict.fromkeys(cells, 1), f"c.v + 0.1 * sum({flow})", ref=False)
     values = ", ".join(str(c) for c in cells)
     on = f"s.z = c.z AND s.y = greatest(0, least({NY - 1}, c.y + o.dy)) AND s.x = greatest(0, least({NX - 1}, c.x + o.dx))"
-    return f"(WITH b AS MATERIALIZED (SELECT * FROM {DOUBLE}) SELECT c.z, c.y, c.x, c.v + 0.1 * sum({flow}) AS v FROM b c CROSS JOIN (VALUES {values}) o(dz, dy, dx) JOIN b s ON {on} GROUP BY c.z, c.y, c.x, c.v)"
+    return f"(WITH b AS MATERIALIZED (SELECT * FROM {of}) SELECT c.z, c.y, c.x, c.v + 0.1 * sum({flow}) AS v FROM b c CROSS JOIN (VALUES {values}) o(dz, dy, dx) JOIN b s ON {on} GROUP BY c.z, c.y, c.x, c.v)"
 
 
 def reconstructed(seed: str, mask: str, dilates: bool, value: str = "v", steps: int = 100) -> str:
@@ -207,6 +212,18 @@ ORACLE_SQL: dict[str, str] = {
     "flagship": f"WITH e AS MATERIALIZED {box(EMB, THREE, 'min')} SELECT CAST(v AS BIGINT) AS label, count(*) AS volume FROM {local('{m}', FLAT3).replace(EMB, 'e')} GROUP BY 1",
     "source_table_volume": ints(LI),
     "source_slice_range": ints(f"(SELECT z - 2 AS z, y, x, v FROM {EMB} WHERE z >= 2 AND z < 7)"),
+    "source_raw_round_trip": ints(EMB),
+    "blocks_opening": ints(chain(EMB, THREE, "min", "max")),
+    "blocks_gaussian": reals(point("abs(v)", stencil(EMB, gauss(1.0, 5, False))), "v"),
+    "blocks_median_3d": ints(stencil(EMB, FLAT3, "quantile_disc(s.v, 0.5)")),
+    "blocks_threshold_mean": ints(local("{m} - 0.01", FLAT3)),
+    "blocks_reconstruction": reconstructed(box(EMB, THREE, "min"), EMB, True),
+    "compare_arrays_binary": f"SELECT true AS same, count(*) = 0 AS other FROM {mask(100)} a JOIN {mask(-50)} b ON a.z = b.z AND a.y = b.y AND a.x = b.x WHERE a.v <> b.v",
+    "erosion_line_v": ints(box(EMB, (1, 4, 1), "min")),
+    "anisotropic_diffusion3D_exponential": reals(diffusion(SIX, False, 1, diffusion(SIX, False, 1)), "v"),
+    "anisotropic_diffusion2D_tanh": reals(diffusion(EIGHT, True, 3, diffusion(EIGHT, True, 3)), "v"),
+    "threshold_local_gaussian": ints(stencil(EMB, gauss(0.5, 4, False), "CASE WHEN c.v > sum(s.v * o.w) - 0.123 THEN 255 ELSE 0 END")),
+    "labelling_relabelled": f"SELECT z, y, x, CASE WHEN v = 0 THEN 0 ELSE dense_rank() OVER (ORDER BY v) - 1 END AS v FROM ({LABELLING})",
     "complement_binary": ints(point("1 - v", mask(0))),
     "logical_or": ints(zipped(mask(100), mask(-50), "greatest(a.v, b.v)")),
     "subtraction": ints(zipped(EMB, LARGEST, "b.v - a.v")),

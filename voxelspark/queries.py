@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import footprint as fp
 from .functions import kernels
 from .operators import features, filters, morphology, pointwise, quantification, restoration, segmentation, threshold
+from .plans.blocks import pack, read_blocks
 from .plans.box import AXES
 from .sources.tables import embeddings_labels, embeddings_mask, embeddings_volume, lineitem_volume
 from .streaming.slices import map_stream, pack_slices, unpack_slices
@@ -165,13 +166,38 @@ def _hessian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reals(features.hessian(embeddings_volume(spark, sf_dir)), "fyy", "fxx", "fxy")
 
 
+def _blocks(make: Callable[[Volume], Volume]) -> Query:
+    """The operator's block form, over the packed volume."""
+    return lambda spark, sf_dir: ints(make(pack(embeddings_volume(spark, sf_dir))))
+
+
+def _raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as raw files, a file for each block, and read back as another type."""
+    store = pack(embeddings_volume(spark, sf_dir)).store
+    folder = store.files[0][4].rpartition("/")[0]
+    return ints(read_blocks(spark, folder, store.shape, "int32", "float32", block=(3, 20)))
+
+
+def _compare_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = embeddings_mask(spark, sf_dir, 100), embeddings_mask(spark, sf_dir, -50)
+    return spark.createDataFrame([(pointwise.compare_arrays_binary(a, a), pointwise.compare_arrays_binary(a, b))], "same boolean, other boolean")
+
+
 M, T, Q = morphology, threshold, quantification
 QUERIES: dict[str, Query] = {
     "flagship": _flagship,
     # sources
     "source_table_volume": lambda spark, sf_dir: ints(lineitem_volume(spark, sf_dir)),
     "source_slice_range": _stored,
+    "source_raw_round_trip": _raw_round_trip,
+    # block forms
+    "blocks_opening": _blocks(lambda v: morphology.opening(v, CUBE)),
+    "blocks_gaussian": lambda spark, sf_dir: reals(filters.gaussian(pack(embeddings_volume(spark, sf_dir)), 1.0, dtype="float64").df, "v"),
+    "blocks_median_3d": _blocks(lambda v: filters.median(v, 3, 3, 3)),
+    "blocks_threshold_mean": _blocks(lambda v: threshold.threshold_mean(v, 3, 0.01)),
+    "blocks_reconstruction": _blocks(lambda v: morphology.reconstruction(morphology.erosion(v, CUBE), v, "dilation")),
     # pointwise
+    "compare_arrays_binary": _compare_binary,
     "complement_binary": _binary(pointwise.complement_binary),
     "logical_or": _masks(pointwise.logical_or),
     "subtraction": _two(pointwise.subtraction),
@@ -200,7 +226,10 @@ QUERIES: dict[str, Query] = {
     "anisotropic_diffusion2D": _real(lambda v: restoration.anisotropic_diffusion2D(v.astype("float64"), 1, 0.1, 200.0, 2)),
     "anisotropic_diffusion3D": _real(lambda v: restoration.anisotropic_diffusion3D(v.astype("float64"), 1, 0.1, 200.0, 2)),
     "non_local_means": _real(lambda v: restoration.non_local_means(v, 3, 5, 200.0)),
+    "anisotropic_diffusion3D_exponential": _real(lambda v: restoration.anisotropic_diffusion3D(v.astype("float64"), 2, 0.1, 200.0, 1)),
+    "anisotropic_diffusion2D_tanh": _real(lambda v: restoration.anisotropic_diffusion2D(v.astype("float64"), 2, 0.1, 200.0, 3)),
     # thresholds
+    "threshold_local_gaussian": _of(lambda v: T.threshold_local(v, 3, 0.5, 0.123, "gaussian")),
     "threshold_gaussian": _of(lambda v: T.threshold_gaussian(v, 0.5, 0.123)),
     "threshold_mean": _of(lambda v: T.threshold_mean(v, 3, 0.01)),
     "threshold_local": _of(lambda v: T.threshold_local(v, 5, offset=0.01, method="mean", type3d=0)),
@@ -214,6 +243,7 @@ QUERIES: dict[str, Query] = {
     "closing": _of(lambda v: M.closing(v, CUBE)),
     "opening": _of(lambda v: M.opening(v, CUBE)),
     "erosion_line": _of(lambda v: M.erosion(v, fp.line_h(4))),
+    "erosion_line_v": _of(lambda v: M.erosion(v, fp.line_v(4))),
     "dilation_custom": _of(lambda v: M.dilation(v, MIXED)),
     "geodesic_erosion": _two(lambda v, mask: M.geodesic_erosion(mask, v)),
     "geodesic_dilation": _two(lambda v, mask: M.geodesic_dilation(v, mask)),
@@ -250,6 +280,7 @@ QUERIES: dict[str, Query] = {
     "compute_perimeter": _labels(Q.compute_perimeter, "perimeter"),
     "compute_fraction": _labels(Q.compute_fraction, "fraction"),
     "labelling": _labelling,
+    "labelling_relabelled": lambda spark, sf_dir: ints(quantification.labelling(embeddings_mask(spark, sf_dir, 220), relabel=True)),
     "remove_islands": _islands,
     "distance_transform_edt": lambda spark, sf_dir: reals(Q.distance_transform_edt(embeddings_mask(spark, sf_dir, 0)).df, "v"),
     # features
