@@ -139,3 +139,19 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert seen[4] == seen[3]
     result = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in result.collect()} == seen[4]
+
+
+@pytest.mark.parametrize("kind", ["outlier", "cluster", "null", "one"])
+def test_shards_are_even_whatever_the_ids(spark, tmp_path, kind):
+    """Bytes of the largest shard against the mean, for ids that an even cut of their range would
+    put into one shard."""
+    rng = random.Random(3)
+    ids = {"outlier": [*range(3999), 1 << 62], "cluster": [i + (0 if i % 2 else -(1 << 62)) for i in range(4000)], "null": [None] * 2000 + list(range(2000)), "one": [7] * 4000}[kind]
+    pages = spark.createDataFrame([(p, f"http://x/{i}", "".join(rng.choice("abcdef") for _ in range(2000))) for i, p in enumerate(ids)], "page_id long, url string, html string")
+    manifest = write_warc(pages, f"file://{tmp_path}/w", shard_bytes=1 << 20).groupBy("shard").sum("records").collect()
+    counts = [r[1] for r in manifest]
+    assert sum(counts) == 4000 and len(counts) >= 8
+    assert max(counts) < 2 * 4000 / len(counts)
+    again = write_warc(pages.repartition(7), f"file://{tmp_path}/again", shard_bytes=1 << 20)
+    key = lambda m: sorted((r.file, r.sha256) for r in m.collect())
+    assert key(again) == key(spark.read.parquet(f"file://{tmp_path}/w/manifest"))

@@ -1,9 +1,11 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are dealt to shards by ranges of page_id: the id range is cut into at most 4096 blocks,
-their bytes are summed, and running sums give each block its shard, so shards depend on the data
-alone and not on the number of tasks. A shard is sorted by page_id and written as one or more
-files, rolled by compressed size. Every record is a gzip member with regenerated headers and
+Records are dealt to shards by ranges of (page_id, hash of the payload). The ranges hold about equal
+bytes: their borders are quantiles of the rows whose hash falls into a sample, ``SAMPLES`` a shard,
+so they depend on the data alone and not on the number of tasks, and neither an outlying id, nor a
+cluster of ids, nor many rows without an id make a shard larger. Only rows with equal id and equal
+payload stay together. A task takes one shard, which is sorted by page_id and written as one or
+more files, rolled by compressed size. Every record is a gzip member with regenerated headers and
 digests and a fixed date, so writing twice gives the same bytes.
 
 A file is written under a temporary name and renamed when it is complete; the table of files
@@ -18,7 +20,8 @@ shard, and no join moves them.
 Defined results: null html is an empty payload, a null url becomes urn:page:<id>; a null page_id
 is written without an id and read back as null, and the first of equal payloads without any id is
 the response; of rows with equal page_id and payload the first
-is the response; empty tables give no file; extra columns are ignored.
+is the response; a very long payload is held by its task alone; empty tables give no file; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +32,16 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_unique, materialize, scratch_path, small_batches
 
 LEAST = 1000
-BLOCKS = 4096
+SAMPLES = 64
 SHARD_BYTES = 256 << 20
 ROLL_BYTES = 128 << 20
 DATE = "2000-01-01T00:00:00Z"
@@ -100,6 +104,44 @@ class _File:
         return self.name, self.shard, self.seq, self.records, self.bytes, self.sha.hexdigest()
 
 
+class Ranges:
+    """Borders of the shards: a row's shard is the number of borders that are not above its key."""
+
+    def __init__(self, sample: list[tuple[int | None, int, int]], shards: int):
+        """sample: (page_id, hash, bytes); null ids come first."""
+        keys = sorted((_LOW if p is None else p, h, b) for p, h, b in sample)
+        total, before, borders = sum(b for *_, b in keys), 0, []
+        for page, h, size in keys:
+            if before * shards >= total * (len(borders) + 1) and len(borders) + 1 < shards:
+                borders.append((page, h))
+            before += size
+        self.pages, self.hashes = (np.array([b[i] for b in borders], np.int64) for i in range(2))
+        self.count = len(borders) + 1
+
+    def shard(self, pages: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        low, high = (np.searchsorted(self.pages, pages, side) for side in ("left", "right"))
+        for page in np.unique(pages[low < high]):  # at most one for each border
+            of = pages == page
+            a, b = low[of][0], high[of][0]
+            low[of] = a + np.searchsorted(self.hashes[a:b], hashes[of], "right")
+        return low
+
+
+_LOW = -(1 << 63)
+
+
+def _slots(spark: SparkSession, n: int) -> list[int]:
+    """For each of n shards a key that Spark's hash partitioning into n puts into a task alone."""
+    found: dict[int, int] = {}
+    at = 0
+    while len(found) < n:
+        size = 16 * n + 64
+        for r in spark.range(at, at + size).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("task")).groupBy("task").agg(F.min("id").alias("id")).collect():
+            found.setdefault(r["task"], r["id"])
+        at += size
+    return [found[k] for k in range(n)]
+
+
 MANIFEST = "file string, shard long, seq long, records long, bytes long, sha256 string"
 
 
@@ -109,19 +151,26 @@ def write_warc(pages: DataFrame, root: str, least: int = LEAST, shard_bytes: int
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("sha"))
     narrow = materialize(rows.select("page_id", "sha", F.octet_length("html").cast("long").alias("bytes")), "warc_narrow")
-    count, low, high, total = narrow.agg(F.count(F.lit(1)), F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    width = max(1.0, ((high or 0) - (low or 0) + 1) / BLOCKS)
-    block = F.coalesce(F.floor((F.col("page_id").cast("double") - float(low or 0)) / width), F.lit(-1)).cast("long")
-    size = min(shard_bytes, max(((total or 0) + 512 * count) // 64, 1 << 20))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stats = narrow.groupBy(block.alias("block")).agg(F.sum(F.col("bytes") + 512).alias("size"))  # at most BLOCKS + 1 rows
-    shards = materialize(stats.select("block", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / size).cast("long").alias("shard")), "warc_shards")
+    count, total = narrow.agg(F.count(F.lit(1)), F.sum(F.col("bytes") + 512)).first()
+    size = min(shard_bytes, max((total or 0) // 64, 1 << 20))
+    shards = max(1, -(-(total or 0) // size))
+    key = F.xxhash64("sha")
+    sample = narrow.filter(F.pmod(key, F.lit(max(1, count // (SAMPLES * shards)))) == 0).groupBy("page_id", key.alias("key")).agg(F.sum(F.col("bytes") + 512).alias("bytes"))
+    ranges = Ranges([tuple(r) for r in sample.collect()], shards)
+    slots = np.array(_slots(pages.sparkSession, ranges.count), np.int64)
+    shared = pages.sparkSession.sparkContext.broadcast(ranges)
+
+    @F.arrow_udf("long")
+    def shard_of(page_id: pa.Array, key: pa.Array) -> pa.Array:
+        return pa.array(shared.value.shard(page_id.fill_null(_LOW).to_numpy(), key.to_numpy()))
+
     groups = narrow.filter(F.col("bytes") >= least).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = join_unique(narrow, materialize(groups, "warc_groups"), "sha", "n", count).filter("refers_to is not null and (page_id is null or page_id <> refers_to)")
     marks = again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", "refers_to", F.lit(0).alias("kind")).distinct()
     every = marks.unionByName(rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("kind", F.lit(1)))
-    dealt = every.withColumn("block", block).join(F.broadcast(shards), "block").drop("block")
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "sha", "url")
+    dealt = every.withColumn("shard", shard_of("page_id", F.xxhash64("sha")))
+    task = F.element_at(F.lit(slots.tolist()), F.col("shard").cast("int") + 1)
+    dealt = dealt.repartition(ranges.count, task).sortWithinPartitions("shard", "page_id", "kind", "sha", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, done, now, marked, seen = None, [], object(), {}, set()
