@@ -12,12 +12,15 @@ many shingles of any item are fingerprinted; the bound is exact. Of two items wi
 fingerprints differ in about 10 of 64 bits (three standard deviations: 18), so radius 23 is wide.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased.
-The benchmark is a set of queries with a bounded total size, checked before it is sent to the
-executors; larger ones are taken in blocks of items, one pass each.
+The benchmark is a set of queries. What a block of items takes on an executor, its index included,
+is counted before it is sent there and bounded by ``MAX_BLOCK_BYTES``; larger benchmarks are taken
+in blocks of items, one pass each.
 
 Defined results: null or empty texts match nothing, null or word-less items are ignored; an item
 with fewer than k words is one shingle; a text shorter than the item is one window; repeated
-rows each give their result; empty tables give empty results.
+rows each give their result; a very long text is matched whole, its windows in one pass; empty
+tables give empty results; extra columns, whatever their names, are ignored by ``contaminated`` and
+pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -27,15 +30,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .textkit import ALNUM, Words, buffers, mix, pieces, sequence_hash, shingle_hashes
+from .textkit import ALNUM, Words, array_pieces, buffers, mix, pieces, sequence_hash, shingle_hashes
 
 RADIUS, BLOCKS = 23, 8
-#: Bytes of benchmark text in one block of items.
-MAX_BLOCK_BYTES = 8 << 20
+#: Bytes of one block of items on an executor, and what an item takes there besides its shingles:
+#: its row of the Hamming block index. A character of text takes at most five bytes of shingles.
+MAX_BLOCK_BYTES = 64 << 20
+ITEM_BYTES, CHAR_BYTES = 4096, 5
 
 
 def _near(bits: int) -> list[np.ndarray]:
@@ -131,13 +137,13 @@ class Items:
         return [(i, *b) for i, b in sorted(best.items())]
 
 
-def _texts(batch: pa.RecordBatch, items: Items) -> Iterator[tuple[int, list]]:
+def _texts(texts: pa.Array, items: Items) -> Iterator[tuple[int, list]]:
     """(row, matches) for the rows that have any."""
-    words = Words(*buffers(batch.column(batch.schema.get_field_index("text"))), ALNUM)
+    words = Words(*buffers(texts), ALNUM)
     runs = shingle_hashes(words.hash, items.k)
     near = items.hits(runs)
     short = bool((items.lengths < items.k).any())
-    rows = range(batch.num_rows) if short else np.unique(np.searchsorted(words.first, near, "right") - 1).tolist()
+    rows = range(len(texts)) if short else np.unique(np.searchsorted(words.first, near, "right") - 1).tolist()
     for i in rows:
         a, b = int(words.first[i]), int(words.first[i + 1])
         if b > a and (found := items.matches(words.hash[a:b], runs[a : max(a, b - items.k + 1)])):
@@ -149,7 +155,7 @@ def _blocks(benchmark: DataFrame, k: int, percent: int) -> Iterator[Items]:
     block, size = [], 0
     for r in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
+        size += ITEM_BYTES + CHAR_BYTES * len(r["text"])
         if size > MAX_BLOCK_BYTES:
             yield Items(block, k, percent)
             block, size = [], 0
@@ -173,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
             for batch in batches:
                 for piece in pieces(batch, "text"):
                     ids = piece.column("doc_id")
-                    rows = [(ids[i].as_py(), items.ids[m[0]], *m[1:]) for i, found in _texts(piece, items) for m in found]
+                    rows = [(ids[i].as_py(), items.ids[m[0]], *m[1:]) for i, found in _texts(piece.column("text"), items) for m in found]
                     if rows:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
@@ -181,20 +187,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
     return out
 
 
+def _clean(texts: Column, shared: Broadcast[Items]) -> Column:
+    """Does a text hold none of the items?"""
+
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            for piece in array_pieces(batch):
+                keep.append(np.ones(len(piece), bool))
+                keep[-1][[i for i, _ in _texts(piece, shared.value)]] = False
+            yield pa.array(np.concatenate(keep))
+
+    return clean(texts.cast("string"))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents in which no item is found, all columns kept; no shuffle."""
+    """The documents in which no item is found, all columns kept. Only texts go to Python and only
+    flags come back; no shuffle."""
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
     for items in _blocks(benchmark, k, percent):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in batches:
-                for piece in pieces(batch, "text"):
-                    keep = np.ones(piece.num_rows, bool)
-                    keep[[i for i, _ in _texts(piece, items)]] = False
-                    yield piece.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.filter(_clean(F.col("text"), docs.sparkSession.sparkContext.broadcast(items)))
     return docs
