@@ -95,3 +95,12 @@ def test_blocks_fit_the_memory_bound(shape, halo):
     assert 1 <= depth <= shape[0] and 1 <= rows <= shape[1]
     cells = min(shape[0], depth + 2 * halo[0]) * min(shape[1], rows + 2 * halo[1]) * shape[2]
     assert cells * 8 * 6 <= 512 << 20 or (depth, rows) == (1, 1)
+
+
+def test_unknown_arguments_are_refused(spark):
+    image = Volume.from_numpy(spark, INTS)
+    assert morphology.opening(image, fp.cube(1), verbose=1, gpuMemory=0.1, ngpus=2).shape == INTS.shape
+    with pytest.raises(TypeError):
+        morphology.opening(image, footprnt=fp.cube(1))
+    with pytest.raises(TypeError):
+        morphology.opening(image, fp.cube(1), gpumemory=0.1)

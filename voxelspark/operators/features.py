@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.hints import hinted
 from ..plans.box import AXES, over
 from ..plans.halo import apply_blocks
 from ..volume import Volume
@@ -30,6 +31,7 @@ def _check(step: int) -> None:
         raise ValueError("only step 1 is defined")
 
 
+@hinted
 def grad(image: Volume, axis: int = 0, step: int = 1, dtype: str = "float32", **hints) -> Volume:
     """Axis 0: along rows (y); axis 1: along columns (x)."""
     _check(step)
@@ -37,6 +39,7 @@ def grad(image: Volume, axis: int = 0, step: int = 1, dtype: str = "float32", **
     return image.with_df(df.withColumn("v", _slope("v", "yx"[axis])), dtype)
 
 
+@hinted
 def hessian(image: Volume, step: int = 1, **hints) -> DataFrame:
     """Gradients of gradients: z, y, x, fyy (along rows twice), fxx (along columns twice), fxy.
     Windows of one axis share a shuffle: two for y, two for x."""
@@ -49,6 +52,7 @@ def hessian(image: Volume, step: int = 1, **hints) -> DataFrame:
     return df.select(*AXES, "fyy", "fxx", "fxy")
 
 
+@hinted
 def hessian_eigenvalues(image: Volume, step: int = 1, method: str = "gradient", **hints) -> DataFrame:
     """z, y, x, l1 >= l2; ``method="direct"`` takes second differences instead of gradients of
     gradients, which differ near the border."""
@@ -65,6 +69,7 @@ def hessian_eigenvalues(image: Volume, step: int = 1, method: str = "gradient",
     return hessian(image, step).select(*AXES, ((a + d + root) / 2).alias("l1"), ((a + d - root) / 2).alias("l2"))
 
 
+@hinted
 def shape_index(image: Volume, eigen: DataFrame | None = None, step: int = 1, dtype: str = "float32", **hints) -> Volume:
     """2 / pi * atan((l2 + l1) / (l2 - l1)); 0 where both are equal."""
     eigen = hessian_eigenvalues(image, step) if eigen is None else eigen
@@ -78,6 +83,7 @@ def feature_names(sigmas: Sequence[float], features: Mapping[str, bool]) -> list
     return [f"{n}_{i}" for i in range(len(sigmas)) for n in one]
 
 
+@hinted
 def pixel_feature_extract(image: Volume, sigmas: Sequence[float], features: Mapping[str, bool] | None = None, use_3d: bool = False, **hints) -> DataFrame:
     """z, y, x, features array<float>: for each sigma the wanted features of the smoothed slice.
     One array kernel computes them all from one read of the slice; ``use_3d`` has no effect."""
@@ -90,6 +96,7 @@ def pixel_feature_extract(image: Volume, sigmas: Sequence[float], features: Mapp
     return apply_blocks(image.df, image.shape, ["v"], run, 0, {"features": "array<float>"}, (1, *image.shape[1:]))
 
 
+@hinted
 def superpixel_pooling_feature(image: Volume, superpixels: Volume, sigmas: Sequence[float], numSuperpixels: int = -1, features: Mapping | None = None, **hints) -> DataFrame:
     """(sp_id, f0, f1, ...): features pooled over superpixels, in the order sigma, feature, (mean,
     min, max). Partial aggregates before the shuffle; a superpixel without voxels gets 0."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import footprint as fp
 from ..functions import kernels, stencils
+from ..functions.hints import hinted
 from ..plans import blocks
 from ..plans.blocks import on_blocks
 from ..plans.box import AXES, box
@@ -52,11 +53,13 @@ def dilation(image: Volume, footprint, out=None, verbose: int = 0, gpuMemory: fl
 
 
 @on_blocks(stencils.closing)
+@hinted
 def closing(image: Volume, footprint, **hints) -> Volume:
     return erosion(dilation(image, footprint), footprint)
 
 
 @on_blocks(stencils.opening)
+@hinted
 def opening(image: Volume, footprint, **hints) -> Volume:
     return dilation(erosion(image, footprint), footprint)
 
@@ -65,10 +68,12 @@ def _geodesic_box(image: Volume, agg):
     return image.with_df(box(image.df, kernels.geodesic_sizes(image.shape), agg))
 
 
+@hinted
 def geodesic_erosion(image: Volume, mask: Volume, **hints) -> Volume:
     return _geodesic_box(image, F.min).zip(mask, F.greatest("v", "w"))
 
 
+@hinted
 def geodesic_dilation(image: Volume, mask: Volume, **hints) -> Volume:
     return _geodesic_box(image, F.max).zip(mask, F.least("v", "w"))
 
@@ -93,19 +98,23 @@ def _minus(a: Volume, b: Volume) -> Volume:
 
 
 @on_blocks(stencils.white_tophat)
+@hinted
 def white_tophat(image: Volume, footprint, **hints) -> Volume:
     return _minus(image, opening(image, footprint))
 
 
 @on_blocks(stencils.black_tophat)
+@hinted
 def black_tophat(image: Volume, footprint, **hints) -> Volume:
     return _minus(closing(image, footprint), image)
 
 
+@hinted
 def white_tophat_reconstruction(image: Volume, footprint, block=None, **hints) -> Volume:
     return _minus(image, reconstruction(opening(image, footprint), image, "dilation", block=block))
 
 
+@hinted
 def black_tophat_reconstruction(image: Volume, footprint, block=None, **hints) -> Volume:
     return _minus(reconstruction(closing(image, footprint), image, "erosion", block=block), image)
 
@@ -126,43 +135,52 @@ def _binary(image: Volume, footprint, agg) -> Volume:
 
 
 @on_blocks(stencils.binary_erosion)
+@hinted
 def binary_erosion(image: Volume, footprint, **hints) -> Volume:
     return _binary(image, footprint, F.min)
 
 
 @on_blocks(stencils.binary_dilation)
+@hinted
 def binary_dilation(image: Volume, footprint, **hints) -> Volume:
     return _binary(image, footprint, F.max)
 
 
 @on_blocks(stencils.binary_closing)
+@hinted
 def binary_closing(image: Volume, footprint, **hints) -> Volume:
     return binary_erosion(binary_dilation(image, footprint), footprint)
 
 
 @on_blocks(stencils.binary_opening)
+@hinted
 def binary_opening(image: Volume, footprint, **hints) -> Volume:
     return binary_dilation(binary_erosion(image, footprint), footprint)
 
 
 @on_blocks(stencils.binary_smoothing)
+@hinted
 def binary_smoothing(image: Volume, footprint, **hints) -> Volume:
     return binary_closing(binary_opening(image, footprint), footprint)
 
 
+@hinted
 def binary_geodesic_erosion(image: Volume, mask: Volume, **hints) -> Volume:
     return geodesic_erosion(image.map((F.col("v") == 1).cast("int")), mask)
 
 
+@hinted
 def binary_geodesic_dilation(image: Volume, mask: Volume, **hints) -> Volume:
     return geodesic_dilation(image.map((F.col("v") == 1).cast("int")), mask)
 
 
+@hinted
 def binary_reconstruction(image: Volume, mask: Volume, method: str = "dilation", block=None, **hints) -> Volume:
     _erodes(method)
     return reconstruction(image, mask, method, block=block)
 
 
+@hinted
 def fill_holes(image: Volume, padding: int = 50, block=None, **hints) -> Volume:
     """Background that the volume's faces do not reach becomes foreground; an axis of one cell has
     no faces. Exact for any blocks; ``padding`` has no effect."""
