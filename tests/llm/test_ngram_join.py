@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from voxelspark.llm import ngram_join
 from voxelspark.llm.components import connected_components
 from voxelspark.llm.ngram_join import keep_one_of_each, ngram_jaccard_join
 
@@ -30,8 +31,9 @@ def brute(data, k, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
-def test_components_match_brute_force(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "cell"), [(4, 85, ngram_join.MAX_CELL), (5, 80, ngram_join.MAX_CELL), (4, 60, 16)])
+def test_components_match_brute_force(spark, monkeypatch, k, percent, cell):
+    monkeypatch.setattr(ngram_join, "MAX_CELL", cell)  # sixteen comparisons: every mixed block becomes a grid
     rng = random.Random(k)
     data = [r for r in rows() if r[0] is not None]
     shared = prose(rng, 60)

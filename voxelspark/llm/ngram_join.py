@@ -11,6 +11,8 @@ transpose, done in blocks (one per n-gram) on as few entries as exactness allows
    class keeps its best hub by accumulated overlap. Links found are contracted to components.
    Then what still lies in different components of one block is compared in full; a block
    inside one component costs nothing, so a group of near copies is never expanded into pairs.
+   A heavy block is cut into a grid of cells, each a join key of its own, so that no key holds
+   more than about MAX_CELL comparisons; every pair still meets in exactly one cell.
 4. A pair is discarded when its sizes, or the parity sketches of the two sets (a lower bound of
    their symmetric difference), rule the threshold out: a small sketch travels with the entries
    and acts inside the join, one as large as the set follows. What is left is counted on the
@@ -43,6 +45,8 @@ from .textkit import pieces, shingles_by_text
 MAX_FREQUENT = 1 << 17
 FREQUENT_DF = 16
 _BUFFER = 1 << 21
+#: Comparisons of a block, or of a cell of its grid, that one join key may hold.
+MAX_CELL = 1 << 24
 #: Bits of a sketch: twice the set's size, within these bounds.
 _SKETCH_BITS = 1 << 10, 1 << 18
 #: Words of the small sketch that travels with the entries: sixteen of 64 bits.
@@ -245,7 +249,8 @@ class _Join:
             size = at.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("here"), F.max(F.struct("w", "cid")).alias("best"))
             # of a mixed block: its largest component, its hub and its size
             block = size.groupBy("tok").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("here", "label")).alias("main"), F.max("best").alias("hub"), F.sum("here").alias("c")).filter("labels > 1")
-            block = materialize(block.select("tok", F.col("main.label").alias("main"), F.col("hub.cid").alias("hub"), "c"), "ngram_mixed")
+            side = F.greatest(F.lit(1), F.ceil(F.sqrt((F.col("c") - F.col("main.here")) * F.col("c") / MAX_CELL))).cast("int")
+            block = materialize(block.select("tok", F.col("main.label").alias("main"), F.col("hub.cid").alias("hub"), "c", side.alias("side")), "ngram_mixed")
             total = block.agg(F.sum("c")).first()[0]
             if not total:
                 break
@@ -256,10 +261,12 @@ class _Join:
             else:
                 # sizes and small sketches settle most pairs inside the join itself
                 wide = mixed.join(self.meta.select("cid", "n", *(F.col("k")[i].alias(k) for i, k in enumerate(_SMALL))), "cid")
-                few = wide.filter("label <> main").select("tok", F.col("cid").alias("x"), F.col("label").alias("lx"), *(F.col(c).alias(f"x{c}") for c in ("n", *_SMALL)))
-                full = wide.select("tok", F.col("cid").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("m"), *(F.col(c).alias(f"y{c}") for c in ("n", *_SMALL)))
-                full = full.withColumnRenamed("tok", "tok_y")
-                met = few.join(full, (F.col("tok") == F.col("tok_y")) & (F.col("lx") != F.col("ly")) & (F.col("m") | (F.col("x") < F.col("y"))) & self._possible_pair("x", "y"))
+                # row of the grid by x, column by y: x goes to all columns of its row, y to all rows
+                own, every = F.pmod(F.xxhash64("cid"), "side").cast("int"), F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+                few = wide.filter("label <> main").select("tok", own.alias("row"), every.alias("column"), F.col("cid").alias("x"), F.col("label").alias("lx"), *(F.col(c).alias(f"x{c}") for c in ("n", *_SMALL)))
+                full = wide.select(F.col("tok").alias("tok_y"), every.alias("row_y"), own.alias("column_y"), F.col("cid").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("m"), *(F.col(c).alias(f"y{c}") for c in ("n", *_SMALL)))
+                cell = (F.col("tok") == F.col("tok_y")) & (F.col("row") == F.col("row_y")) & (F.col("column") == F.col("column_y"))
+                met = few.join(full, cell & (F.col("lx") != F.col("ly")) & (F.col("m") | (F.col("x") < F.col("y"))) & self._possible_pair("x", "y"))
                 pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             found = self.verified(pairs)
             discard(block, mixed)
