@@ -3,7 +3,9 @@ from collections import defaultdict
 
 import pytest
 
-from voxelspark.llm.common import anti_join_few, filter_bits
+from pyspark.sql import functions as F
+
+from voxelspark.llm.common import anti_join_few, filter_bits, join_unique
 from voxelspark.llm.exact_dedup import dedup_report, exact_dedup
 from voxelspark.llm.mixing import mix_sources, targets
 
@@ -48,6 +50,17 @@ def test_filter_has_a_bound_and_anti_join_is_exact(spark):
     assert anti_join_few(docs, "doc_id", gone).count() == 1000 - 143
 
 
+def test_join_unique_deals_a_hot_key_and_keeps_every_row(spark):
+    left = spark.createDataFrame([(k, i) for i in range(300) for k in ("hot", f"cold{i % 40}")] + [("hot", 1)] * 50 + [(None, 5), ("alone", 6)], "k string, v long")
+    right = left.filter("k is not null and k <> 'alone'").groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"))
+    for share in (0.001, 0.1, 1.0):
+        for how in ("inner", "left"):
+            got = join_unique(left, right, "k", "c", left.count(), how, share)
+            assert got.columns == ["k", "v", "c", "s"]
+            want = left.join(right, "k", how)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
 def water(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[i % 3] for i, s in enumerate(names)}

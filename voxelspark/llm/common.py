@@ -4,7 +4,7 @@
   named in ``spark.checkpoint.dir``, which every executor can read, so a lost
   executor costs a re-read and never a recomputation of the whole corpus.
 * A size-bounded Bloom filter held as a table of 64-bit words.
-* A join that sends the few hot keys through a broadcast of proven size.
+* A join that deals the few hot keys to several parts.
 """
 
 from __future__ import annotations
@@ -156,12 +156,14 @@ def anti_join_few(df: DataFrame, key: str, drop_ids: DataFrame) -> DataFrame:
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
     """Join on ``key``, unique in ``right``, whose column ``weight`` counts the rows of ``left``
-    with that key (``total`` in all). Keys with ``share`` of all rows or more are at most
-    1 / share in number: those are broadcast, so no task gathers a hot key. The others go
-    through a shuffle in which no key holds more than that share."""
+    with that key (``total`` in all). A key with more than ``share`` of all rows is dealt to
+    parts of about that size: its rows by a hash of themselves and of their partition, its one
+    row of ``right`` to every part. There are at most 1 / share such keys, so their list is
+    broadcast, and 1 / share more rows of ``right``. One join, whose shuffle reads ``left`` once."""
     least = max(1, int(total * share))
-    hot, cold = right.filter(F.col(weight) > least), right.filter(F.col(weight) <= least)
-    hot_keys = hot.select(key)
-    a = left.join(F.broadcast(hot), key, "inner")
-    b = left.join(F.broadcast(hot_keys), key, "left_anti").join(cold, key, how)
-    return a.unionByName(b)
+    parts = F.greatest(F.lit(1), F.ceil(F.col(weight) / least)).cast("int")
+    hot = right.filter(F.col(weight) > least).select(key, parts.alias("__parts"))
+    part = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.coalesce("__parts", F.lit(1))).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__parts")
+    copies = right.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copies, [key, "__part"], how).drop("__part")
