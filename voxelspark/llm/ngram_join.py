@@ -11,6 +11,8 @@ transpose, done in blocks (one per n-gram) on as few entries as exactness allows
    class keeps its best hub by accumulated overlap. Links found are contracted to components.
    Then what still lies in different components of one block is compared in full; a block
    inside one component costs nothing, so a group of near copies is never expanded into pairs.
+   Blocks of the same classes, as the n-grams of a shared passage make, are met once, with the
+   number of their n-grams as weight (told apart by size and 128 bits of their classes' hashes).
    A heavy block is cut into a grid of cells, each a join key of its own, so that no key holds
    more than about MAX_CELL comparisons; every pair still meets in exactly one cell.
 4. A pair is discarded when its sizes, or the parity sketches of the two sets (a lower bound of
@@ -246,17 +248,20 @@ class _Join:
         links, labels = None, None
         for turn in range(2):
             at = entries.withColumn("label", F.col("cid")) if labels is None else entries.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-            size = at.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("here"), F.max(F.struct("w", "cid")).alias("best"))
+            marks = [F.xxhash64("cid").alias("p"), F.xxhash64("cid", F.lit(1)).alias("q")]
+            size = at.select("tok", "label", "w", "cid", *marks).groupBy("tok", "label").agg(F.count(F.lit(1)).alias("here"), F.max(F.struct("w", "cid")).alias("best"), F.bit_xor("p").alias("p"), F.bit_xor("q").alias("q"))
             # of a mixed block: its largest component, its hub and its size
-            block = size.groupBy("tok").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("here", "label")).alias("main"), F.max("best").alias("hub"), F.sum("here").alias("c")).filter("labels > 1")
+            block = size.groupBy("tok").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("here", "label")).alias("main"), F.max("best").alias("hub"), F.sum("here").alias("c"), F.bit_xor("p").alias("p"), F.bit_xor("q").alias("q")).filter("labels > 1")
+            # blocks of the same classes are one, met once; times: how many n-grams it stands for
+            block = block.groupBy("c", "p", "q").agg(F.min_by(F.struct("tok", "main", "hub"), "tok").alias("one"), F.count(F.lit(1)).alias("times")).select("one.*", "c", "times")
             side = F.greatest(F.lit(1), F.ceil(F.sqrt((F.col("c") - F.col("main.here")) * F.col("c") / MAX_CELL))).cast("int")
-            block = materialize(block.select("tok", F.col("main.label").alias("main"), F.col("hub.cid").alias("hub"), "c", side.alias("side")), "ngram_mixed")
+            block = materialize(block.select("tok", F.col("main.label").alias("main"), F.col("hub.cid").alias("hub"), "c", "times", side.alias("side")), "ngram_mixed")
             total = block.agg(F.sum("c")).first()[0]
             if not total:
                 break
             mixed = materialize(join_unique(at.select("tok", "cid", "label"), block, "tok", "c", total), "ngram_left")
             if turn == 0:
-                votes = mixed.filter("cid <> hub").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("votes"))
+                votes = mixed.filter("cid <> hub").groupBy("cid", "hub").agg(F.sum("times").alias("votes"))
                 pairs = votes.groupBy("cid").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub")).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
             else:
                 # sizes and small sketches settle most pairs inside the join itself
