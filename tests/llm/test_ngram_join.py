@@ -47,6 +47,19 @@ def test_components_match_brute_force(spark, monkeypatch, k, percent, cell):
     assert got == brute([r[:2] for r in data], k, percent)
 
 
+def test_long_sets_match_brute_force(spark):
+    rng = random.Random(11)
+    data, base = [], [prose(rng, 2600).split() for _ in range(3)]
+    for i in range(18):  # from near copies to texts that share only half, around the sizes that have a long sketch
+        words = list(base[i % 3][: rng.choice((2000, 2060, 2600))])
+        for at in rng.sample(range(len(words)), rng.choice((5, 40, 60, 110, 600))):
+            words[at] = f"y{i}"
+        data.append((i, " ".join(words), "en", "s", 0, "", 0, 0))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(frame(spark, data), 5, 80).collect()}
+    want = brute([r[:2] for r in data], 5, 80)
+    assert got == want and 3 < len({c for _, c in want.values()}) < 18
+
+
 def test_one_of_each_stays_and_columns_pass(spark):
     docs = frame(spark)
     kept = keep_one_of_each(docs)

@@ -17,6 +17,7 @@ transpose, done in blocks (one per n-gram) on as few entries as exactness allows
    more than about MAX_CELL comparisons; every pair still meets in exactly one cell.
 4. A pair is discarded when its sizes, or the parity sketches of the two sets (a lower bound of
    their symmetric difference), rule the threshold out: a small sketch travels with the entries
+   (for sets of more than 2048 n-grams one of 4096 bits beside it)
    and acts inside the join, one as large as the set follows. What is left is counted on the
    whole sets.
 
@@ -53,6 +54,8 @@ MAX_CELL = 1 << 24
 _SKETCH_BITS = 1 << 10, 1 << 18
 #: Words of the small sketch that travels with the entries: sixteen of 64 bits.
 _SMALL = [f"k{i}" for i in range(16)]
+#: A set of more n-grams than this fills a small sketch, so one of _LONG_WORDS words travels too.
+_LONG, _LONG_WORDS = 2048, 64
 
 
 def _class_id(shingles: np.ndarray) -> int:
@@ -105,11 +108,15 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _small_sketch(s: np.ndarray) -> list[int]:
-    odd = np.bincount((s & np.uint64(64 * len(_SMALL) - 1)).astype(np.int64), minlength=64 * len(_SMALL)) & 1
+def _parities(s: np.ndarray, words: int) -> list[int]:
+    odd = np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _small_sketch(s: np.ndarray) -> list[int]:
+    return _parities(s, len(_SMALL)) + (_parities(s, _LONG_WORDS) if len(s) > _LONG else [])
+
+
 def differing(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference of two sets, from their sketches."""
     if len(a) > len(b):
@@ -234,7 +241,10 @@ class _Join:
         """Do the sizes and the small sketches of two entries leave the threshold within reach?"""
         nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
         differ = sum((F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in _SMALL), F.lit(0))
-        return (100 * F.least(nx, ny) >= self.percent * F.greatest(nx, ny)) & _linked(F.floor((nx + ny - differ) / 2), nx, ny, self.percent)
+        small = (100 * F.least(nx, ny) >= self.percent * F.greatest(nx, ny)) & _linked(F.floor((nx + ny - differ) / 2), nx, ny, self.percent)
+        differ = F.aggregate(F.zip_with(f"{x}long", f"{y}long", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, one: total + one)
+        both = F.col(f"{x}long").isNotNull() & F.col(f"{y}long").isNotNull()
+        return small & F.when(both, _linked(F.floor((nx + ny - differ) / 2), nx, ny, self.percent)).otherwise(True)
 
     def labels(self) -> DataFrame:
         """(cid, label) of the classes that have a link."""
@@ -265,11 +275,12 @@ class _Join:
                 pairs = votes.groupBy("cid").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub")).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
             else:
                 # sizes and small sketches settle most pairs inside the join itself
-                wide = mixed.join(self.meta.select("cid", "n", *(F.col("k")[i].alias(k) for i, k in enumerate(_SMALL))), "cid")
+                long = F.when(F.size("k") > len(_SMALL), F.slice("k", len(_SMALL) + 1, _LONG_WORDS)).alias("long")
+                wide = mixed.join(self.meta.select("cid", "n", long, *(F.col("k")[i].alias(k) for i, k in enumerate(_SMALL))), "cid")
                 # row of the grid by x, column by y: x goes to all columns of its row, y to all rows
                 own, every = F.pmod(F.xxhash64("cid"), "side").cast("int"), F.explode(F.sequence(F.lit(0), F.col("side") - 1))
-                few = wide.filter("label <> main").select("tok", own.alias("row"), every.alias("column"), F.col("cid").alias("x"), F.col("label").alias("lx"), *(F.col(c).alias(f"x{c}") for c in ("n", *_SMALL)))
-                full = wide.select(F.col("tok").alias("tok_y"), every.alias("row_y"), own.alias("column_y"), F.col("cid").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("m"), *(F.col(c).alias(f"y{c}") for c in ("n", *_SMALL)))
+                few = wide.filter("label <> main").select("tok", own.alias("row"), every.alias("column"), F.col("cid").alias("x"), F.col("label").alias("lx"), *(F.col(c).alias(f"x{c}") for c in ("n", "long", *_SMALL)))
+                full = wide.select(F.col("tok").alias("tok_y"), every.alias("row_y"), own.alias("column_y"), F.col("cid").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("m"), *(F.col(c).alias(f"y{c}") for c in ("n", "long", *_SMALL)))
                 cell = (F.col("tok") == F.col("tok_y")) & (F.col("row") == F.col("row_y")) & (F.col("column") == F.col("column_y"))
                 met = few.join(full, cell & (F.col("lx") != F.col("ly")) & (F.col("m") | (F.col("x") < F.col("y"))) & self._possible_pair("x", "y"))
                 pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
